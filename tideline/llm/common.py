@@ -68,6 +68,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+# Generators below are the outer ones, with a test for null after them: for the
+# others Spark infers a filter on the array's size, and pushed to the scan it
+# makes every array twice, within lambdas even once for each element.
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

@@ -59,7 +59,8 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     tiny = len(SHORT)
     return (
         base.withColumn("s", F.when(F.size("item") >= width, seeds(F.col("item"), long)).when(F.size("item") >= tiny, seeds(F.col("item"), [(-1, SHORT)])).otherwise(F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.lit(-1 - 100), F.element_at("item", 1)).alias("seed")))))
-        .select("item_id", "item", F.explode("s").alias("s"))
+        .select("item_id", "item", F.explode_outer("s").alias("s"))
+        .where("s is not null")
         .select("item_id", "item", F.col("s.place").alias("q"), F.col("s.seed").alias("seed"))
     )
 
@@ -96,11 +97,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int =
     diagonal = (F.col("p") - F.col("q")).alias("diagonal")
     beside = lambda d: F.slice("words", F.greatest(d, F.lit(0)) + 1, F.size("item"))
     if sizes["n"] <= broadcast_seeds:
-        each = windows.select("doc_id", "row_key", "words", F.explode("s").alias("s")).select("doc_id", "row_key", "words", F.col("s.place").alias("p"), F.col("s.seed").alias("seed"))
+        each = windows.select("doc_id", "row_key", "words", F.explode_outer("s").alias("s")).where("s is not null").select("doc_id", "row_key", "words", F.col("s.place").alias("p"), F.col("s.seed").alias("seed"))
         # The document's words stand beside the hit, so the window is cut out before anything is shuffled.
         hits = each.join(F.broadcast(targets), "seed").select("doc_id", "row_key", "item_id", "item", diagonal, "words").select("doc_id", "row_key", "item_id", "item", "diagonal", beside(F.col("diagonal")).alias("window"))
     else:
-        each = windows.select("doc_id", "row_key", F.explode("s").alias("s")).select("doc_id", "row_key", F.col("s.place").alias("p"), F.col("s.seed").alias("seed"))
+        each = windows.select("doc_id", "row_key", F.explode_outer("s").alias("s")).where("s is not null").select("doc_id", "row_key", F.col("s.place").alias("p"), F.col("s.seed").alias("seed"))
         pairs = each.join(targets.drop("item"), "seed").select("doc_id", "row_key", "item_id", diagonal).distinct()
         items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item"))
         back = hashed.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_r"), "words").dropDuplicates(["_d", "_r"])

@@ -83,7 +83,7 @@ def scan_licenses(docs: DataFrame, labelled=None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels and labels (sorted arrays), findings (array of label, start, end, cover) and score."""
     spark = docs.sparkSession
     worded = docs.select("doc_id", common.row_key().alias("_row"), words_of(F.col("text")).alias("words"))
-    each = worded.select("doc_id", "_row", "words", grams(F.col("words")).alias("grams")).select("doc_id", "_row", "words", F.posexplode("grams").alias("p", "gram")).where("gram is not null")
+    each = worded.select("doc_id", "_row", "words", grams(F.col("words")).alias("grams")).select("doc_id", "_row", "words", F.posexplode_outer("grams").alias("p", "gram")).where("gram is not null")
     table = templates(spark, labelled)
     small = sum(len(t.split()) for _, t in (labelled or TEMPLATES)) <= BROADCAST_GRAMS
     hits = each.join(F.broadcast(table) if small else table, "gram")

@@ -2,59 +2,95 @@
 
 A text's lines are hashed, and a rolling hash over the last WINDOW line hashes
 says where a chunk ends: after a line whose rolling hash is 0 modulo DIVISOR.
-The boundaries depend on the lines near them alone, so lines put in or taken out
-elsewhere don't shift them. Lines of LONG words or more are chunks of their own,
-so a long passage of one line is found in any surroundings.
-
-A chunk that occurs more than once in the corpus is removed but for its first
-occurrence (smallest doc_id, then row and place), if it has at least two lines
-or LONG words. Removal takes equal bytes: a hash counts only if the least and
-the greatest of all texts of that hash are the same string, so all of them are.
-
-Defined results: null texts stay null, empty texts stay empty; a document of
-which every chunk is removed becomes empty (the pipeline drops it); the first of
-several equal rows keeps its chunks, the others are told apart by a row number
-within (doc_id, text); nulls in doc_id sort first; extra columns pass through;
-an empty table gives an empty table.
+Boundaries depend on the lines near them alone, so lines put in or taken out
+elsewhere don't shift them. A line of LONG words or more is a chunk of its own,
+so a passage is found in any surroundings.
+
+A chunk is redundant if the corpus holds it more than once and this isn't its
+first occurrence (smallest doc_id, row and place). A redundant chunk is removed
+if it is part of a repeated passage: it has several lines or PASSAGE words, or
+its neighbour in the text is redundant too; single short lines stay. Removal
+takes equal bytes: a hash counts only if the least and the greatest of all the
+texts of that hash are the same string, so that all of them are.
+
+Defined results: null texts stay null, empty ones empty; a text of which every
+chunk is removed becomes empty (remove_repeated drops such rows if asked to);
+repeated rows (one doc_id and text) are treated alike; a null doc_id sorts
+first; extra columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines under the rolling hash, and one boundary in so many lines.
+#: Line hashes under the rolling hash, and one boundary in so many lines.
 WINDOW, DIVISOR = 2, 2
 #: A line of so many words or more is a chunk of its own.
-LONG = 40
-#: A removed chunk has so many words, whatever its lines.
-LEAST_WORDS = 8
-
-CHUNK = "struct<lines:array<string>,words:int>"
+LONG = 12
+#: A chunk of so many words is a passage by itself, and one of several lines from LEAST on.
+PASSAGE, LEAST = 40, 8
 
 
-def words_in(line: Column) -> Column:
-    return F.when(F.trim(line) == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+def words_in(text: Column) -> Column:
+    """Words by blanks and line feeds; only a measure of size."""
+    flat = F.trim(F.translate(text, "\n", " "))
+    return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
 
 
 def chunks(text: Column) -> Column:
-    """The chunks of a text as arrays of lines; joined by line feeds they give the text."""
+    """The chunks of a text, as strings; joined by line feeds they give the text. Null for null."""
     lines = F.split(text, "\n", -1)
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.xxhash64(x).alias("h"), words_in(x).alias("words")))
-    # The rolling hash of a line and those before it; at the start of a text the window is shorter.
-    rolled = F.zip_with(marked, F.concat(F.array(F.lit(None).cast(f"struct<line:string,h:bigint,words:int>")), marked), lambda a, b: F.when(a.isNotNull(), F.struct(a["line"].alias("line"), a["words"].alias("words"), (F.pmod(F.shiftright(F.xxhash64(a["h"], b["h"]), 7), F.lit(DIVISOR)) == 0).alias("cut"))))
-    rolled = F.filter(rolled, lambda x: x.isNotNull())
-    zero = F.expr(f"cast(named_struct('done', array(), 'open', array(), 'words', 0) as struct<done:array<{CHUNK}>,open:array<string>,words:int>)")
-    close = lambda done, open_, words: F.when(F.size(open_) > 0, F.concat(done, F.array(F.struct(open_.alias("lines"), words.alias("words"))))).otherwise(done)
-
-    def step(a, x):
-        alone, cut = x["words"] >= LONG, x["cut"]
-        one = F.struct(F.array(x["line"]).alias("lines"), x["words"].alias("words"))
-        more, words = F.concat(a["open"], F.array(x["line"])), a["words"] + x["words"]
-        none = F.expr("cast(array() as array<string>)")
-        done = F.when(alone, F.concat(close(a["done"], a["open"], a["words"]), F.array(one))).when(cut, F.concat(a["done"], F.array(F.struct(more.alias("lines"), words.alias("words"))))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(alone | cut, none).otherwise(more).alias("open"), F.when(alone | cut, 0).otherwise(words).alias("words"))
-
-    return F.aggregate(rolled, zero, step, lambda a: close(a["done"], a["open"], a["words"]))
+    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    marked = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (blanks(x) >= LONG - 1).alias("alone")))
+
+    def from_marks(m):
+        def ends_here(x, i):
+            hashed = F.xxhash64(*[F.get(m, i - k)["h"] for k in range(WINDOW)])
+            return x["alone"] | (F.pmod(F.shiftright(hashed, 9), F.lit(DIVISOR)) == 0) | F.coalesce(F.get(m, i + 1)["alone"], F.lit(True))
+
+        return F.filter(F.transform(m, lambda x, i: F.when(ends_here(x, i), i)), lambda e: e.isNotNull())
+
+    # One-element arrays bind lines, marks and ends, which else were made anew at every place.
+    bound = F.transform(F.array(F.struct(lines.alias("lines"), marked.alias("marks"))), lambda v: F.struct(v["lines"].alias("lines"), from_marks(v["marks"]).alias("ends")))
+    made = F.transform(bound, lambda v: F.transform(v["ends"], lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(v["ends"], k - 1) + 1).alias("start"), e.alias("end"))))
+    texts = F.zip_with(bound, made, lambda v, spans: F.transform(spans, lambda s: F.array_join(F.slice(v["lines"], s["start"] + 1, s["end"] - s["start"] + 1), "\n")))
+    return F.when(text.isNotNull(), F.element_at(texts, 1))
+
+
+def redundant(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The removable chunks of each document: _d (doc_id), _r (row key), gone (array of chunk numbers)."""
+    rows = docs.select("doc_id", common.row_key("doc_id", text).alias("_row"), F.posexplode_outer(chunks(F.col(text))).alias("place", "chunk")).where("length(chunk) > 0")
+    hashed = rows.select("doc_id", "_row", "place", "chunk", F.xxhash64("chunk").alias("hash"))
+    first = F.min(F.struct("doc_id", "_row", "place"))
+    repeated = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("uses"), first.alias("first"), F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("uses > 1 and least = most").select(F.col("hash").alias("_hash"), "first")
+    light = hashed.select("doc_id", "_row", "place", "hash", words_in(F.col("chunk")).alias("words"), F.contains("chunk", F.lit("\n")).alias("several"))
+    again = light.join(repeated, light["hash"] == repeated["_hash"]).where(~common.same(F.struct("doc_id", "_row", "place"), F.col("first"))).drop("hash", "_hash", "first")
+    order = Window.partitionBy("doc_id", "_row").orderBy("place")
+    touches = lambda f, by: F.coalesce(f("place").over(order) == F.col("place") + by, F.lit(False))
+    again = again.distinct().withColumn("joined", touches(F.lag, -1) | touches(F.lead, 1))
+    gone = again.where((F.col("words") >= PASSAGE) | (F.col("several") & (F.col("words") >= LEAST)) | F.col("joined"))
+    return gone.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(F.collect_list("place").alias("gone"))
+
+
+def remove_repeated(docs: DataFrame, text: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """docs without repeated passages, and n_chunks and n_removed (long). drop_emptied: without the rows that nothing is left of."""
+    gone = redundant(docs, text)
+    joined = docs.join(gone, common.same(docs["doc_id"], gone["_d"]) & (common.row_key("doc_id", text) == gone["_r"]), "left").drop("_d", "_r")
+    parts = joined.withColumn("_chunks", chunks(F.col(text)))
+    n = F.coalesce(F.size("_chunks"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("gone"))
+    left = F.array_join(F.transform(kept, lambda i: F.get("_chunks", i)), "\n")
+    made = {"n_chunks": F.when(F.col("_chunks").isNull(), 0).otherwise(n).cast("bigint"), "n_removed": F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("bigint"), text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)}
+    # A generator of one row: a filter above it isn't pushed below, where all of this would be made twice.
+    others = [c for c in docs.columns if c not in made]
+    out = parts.select(*others, F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))).alias("_made")).select(*[F.col("_made")[c].alias(c) if c in made else F.col(c) for c in docs.columns], *[F.col("_made")[c].alias(c) for c in made if c not in docs.columns])
+    if drop_emptied:
+        out = out.where((F.col("n_removed") == 0) | (F.trim(F.translate(text, "\n", " ")) != ""))
+    return out
+
+
+def op10(spark, sf_dir: str) -> DataFrame:
+    return remove_repeated(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_chunks", "n_removed", "text")

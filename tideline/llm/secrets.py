@@ -82,7 +82,7 @@ def scan_secrets(docs: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base, own = scan(text)
     found = docs.select("doc_id", common.row_key().alias("_row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_owner"), base.alias("base"), own.alias("own"))
-    each = found.select("doc_id", "_row", "_owner", F.explode(F.concat("base", "own")).alias("span"))
+    each = found.select("doc_id", "_row", "_owner", F.explode_outer(F.concat("base", "own")).alias("span")).where("span is not null")
     # By value and owner first, so that a value that a third of all rows holds meets as few rows.
     by_owner = each.groupBy(F.col("span.hash").alias("_hash"), "_owner").agg(F.count(F.lit(1)).alias("uses"), F.approx_count_distinct("_row", 0.02).alias("repos"))
     freq = by_owner.groupBy("_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
