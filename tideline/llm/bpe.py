@@ -275,6 +275,13 @@ class Encoder:
                 part = both[start : start + 20_000]
                 memo.update(zip((p for p, _ in part), self.merger.encode_rows([r for _, r in part], width)))
 
+    def ids(self, piece: str) -> bytes:
+        """The ids of one pre-token, by the memo or else by the scalar tree."""
+        known = self.memo.get(piece)
+        if known is None:
+            known = self.memo[piece] = np.array(self.merger.encode(piece.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes()
+        return known
+
     def groups(self, texts: list[str]):
         """Lists of pre-tokens of each text, for a bounded number of characters at a time, with the memo filled."""
         start = 0

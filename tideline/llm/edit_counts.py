@@ -124,8 +124,7 @@ class Tree:
                     kept.append(p)
                 at += len(p)
         made += kept
-        encoder.learn(made)
-        self.put(first, made, sum(len(encoder.memo[p]) // 4 for p in made))
+        self.put(first, made, sum(len(encoder.ids(p)) // 4 for p in made))
         for slot in range(first + 1, last):
             self.put(slot, [], 0)
         return fresh
@@ -149,13 +148,8 @@ def count_with_edits(df: DataFrame, text: str = "text", edits: str = "edits", pa
             tree = Tree(pieces, [len(get(p)) // 4 for p in pieces])
             n, again = tree.n_tokens, 0
             todo = [e for e in change or () if e]
-            # learn() may empty the memo, and the group's later texts still need theirs
-            held = encoder.memo
-            if todo:
-                encoder.memo = dict.fromkeys(())
-                for e in todo:
-                    again += tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "", encoder)
-                encoder.memo = held
+            for e in todo:
+                again += tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "", encoder)
             rows.append((n, tree.n_tokens, tree.n_chars, len(todo), len(pieces), again))
         return [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
 
