@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,12 +50,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark removes the shuffle files behind the table when the JVM collects what refers to them; ask for that now.
+    gc.collect()
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tideline_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | None) -> None:
     """Remove what materialize() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_tideline_path", None)
     if path:
