@@ -35,9 +35,9 @@ PASSAGE, LEAST = 40, 8
 
 
 def words_in(text: Column) -> Column:
-    """Words by blanks and line feeds; only a measure of size."""
-    flat = F.trim(F.translate(text, "\n", " "))
-    return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+    """Blanks and line feeds, and one: a measure of size that is cheap to take."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    return count(" ") + count("\n") + 1
 
 
 def chunks(text: Column) -> Column:
