@@ -91,6 +91,24 @@ def test_jaccard_classes(spark, region):
     assert got == {i: (len(s), root(i)) for i, s in have.items()}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_jaccard_regions_lose_no_pair(percent):
+    """Sets at the very threshold, of all sizes, meet in a region; unlike ones seldom do."""
+    rng, rings, chance = np.random.default_rng(3), jaccard.Rings(percent), 0
+    draw = lambda n: np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+    for n in [*range(1, 80), 130, 139, 255, 700, 3000]:
+        for _ in range(6):
+            s = draw(n)
+            for gone in {0, int(n * (100 - percent) / 100), int(rng.integers(0, n + 1))}:
+                left = np.sort(rng.permutation(s)[gone:])
+                t = np.union1d(left, draw(int(len(left) * 100 / percent - len(left) - gone * 100 / percent) if gone == 0 else int(rng.integers(0, n // 4 + 1))))
+                both = len(np.intersect1d(s, t))
+                if len(t) and not np.array_equal(s, t) and 100 * both >= percent * (len(s) + len(t) - both):
+                    assert len(np.intersect1d(rings.regions(s), rings.regions(t)))
+            chance += len(np.intersect1d(rings.regions(s), rings.regions(draw(n)))) > 0 if n >= 40 else 0
+    assert chance <= 3
+
+
 def test_jaccard_odd_rows(odd, none):
     assert jaccard.jaccard_classes(odd).count() == len(ODD)
     kept = jaccard.keep_one(odd)
