@@ -9,15 +9,17 @@ folded first. Then:
    together, and pairs among them that are nearer than what either has enter
    their lists. It ends when a round changes few entries, after ROUNDS at most.
 3. Entries of at least the threshold are links, and their components are made. A
-   list that holds nothing but links is saturated: it is enlarged to all vectors
-   of its component, compared in blocks of BLOCK by BLOCK; the same comparison
-   confirms the links of the others, so none below the threshold is kept.
+   list that holds nothing but links is saturated and may have pushed others out:
+   its vector is compared with all vectors of other components of its label that
+   the triangle inequality on angles doesn't rule out, so all of its links count.
+   Within components all vectors are compared in blocks of BLOCK by BLOCK, which
+   gives the numbers of links.
 4. Recall is audited: AUDIT vectors (those of the smallest hash of their id) are
    compared with all vectors. Under RECALL, lists and tables are doubled and the
    descent is run again.
 
-Lists bound what a round explores, not the result: saturated ones are enlarged
-without a cap. Only pairs that enter a list leave a task.
+Lists bound what a round explores, not the result: a link that a list pushes out
+leaves a saturated list, and those are enlarged without a cap. Only pairs that enter a list leave a task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and those without a label, link with nothing and are their own
@@ -184,6 +186,79 @@ def _exact(vectors: DataFrame, member: DataFrame, threshold: float) -> DataFrame
     return found.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _reached(centres: DataFrame, vectors: DataFrame) -> DataFrame:
+    """c and v: the vectors (id, g, x, component) of other components that a centre (the same and reach, a cosine) of their label reaches."""
+    import pyarrow as pa
+
+    nc = centres.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("nc"))
+    nv = vectors.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).cast("int").alias("nv"))
+    parts = nc.join(nv, "g")
+    part = lambda n: F.pmod(F.xxhash64(F.lit(5), "id"), F.col(n)).cast("int")
+    each = lambda n: F.explode_outer(F.sequence(F.lit(0), F.col(n) - 1))
+    left = centres.join(parts, "g").select("id", "g", "x", "component", "reach", part("nc").alias("a"), each("nv").alias("b"))
+    right = vectors.join(parts, "g").select("id", "g", "x", "component", F.lit(None).cast("double").alias("reach"), part("nv").alias("b"), each("nc").alias("a")).select(left.columns)
+    both = left.union(right).withColumn("block", F.xxhash64("g", "a", "b"))
+
+    def run(batches):
+        for _, t in _runs(batches, ["block"]):
+            ids, of, reach, x = np.asarray(t.column("id")), np.asarray(t.column("component")), t.column("reach").to_numpy(), _unit(_stack(t.column("x")))
+            centre, other = np.flatnonzero(~np.isnan(reach)), np.flatnonzero(np.isnan(reach))
+            for a in range(0, len(centre), 256):
+                c = centre[a : a + 256]
+                i, j = np.nonzero((x[c] @ x[other].T >= reach[c][:, None]) & (of[c][:, None] != of[other][None, :]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c[i]]), pa.array(ids[other[j]])], names=["c", "v"])
+
+    return both.select("block", "id", "component", "reach", "x").repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "c bigint, v bigint")
+
+
+def _enlarged(graph: DataFrame, placed: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) of the vectors of saturated lists with other components, all of them.
+
+    A saturated vector stands in the ball of the linked vector of smallest hash in
+    its list. What is linked with a member of a ball is at most the ball's radius
+    and the threshold's angle from its centre, and is compared with the members.
+    """
+    import pyarrow as pa
+
+    limit = threshold - 1e-9
+    full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("m"), F.min("sim").alias("least"), F.min_by(F.struct("v", "sim"), F.xxhash64(F.lit(11), "v")).alias("to")).where((F.col("m") >= k) & (F.col("least") >= limit))
+    balls = common.materialize(full.select(F.col("u").alias("id"), F.col("to.v").alias("c"), F.col("to.sim").alias("sim")), "balls")
+    reach = balls.groupBy("c").agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("members"))
+    wide = F.acos(F.least(F.col("sim"), F.lit(1.0))) + float(np.arccos(limit)) + 1e-7
+    centres = placed.join(reach, placed["id"] == reach["c"]).select("id", "g", "x", "component", F.when(wide < np.pi, F.cos(wide)).otherwise(-2.0).alias("reach"))
+    near = common.materialize(_reached(centres, placed), "reached")
+    sizes = near.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nv")).join(reach.select("c", F.ceil(F.col("members") / BLOCK).cast("int").alias("nm")), "c")
+    part = lambda n, v: F.pmod(F.xxhash64(F.lit(5), v), F.col(n)).cast("int")
+    each = lambda n: F.explode_outer(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = balls.join(sizes, "c").select("c", "id", F.lit(True).alias("member"), part("nm", "id").alias("a"), each("nv").alias("b"))
+    outside = near.join(sizes, "c").select("c", F.col("v").alias("id"), F.lit(False).alias("member"), part("nv", "v").alias("b"), each("nm").alias("a")).select(inside.columns)
+    both = inside.union(outside).join(placed.select("id", "x"), "id").withColumn("block", F.xxhash64("c", "a", "b"))
+
+    def run(batches):
+        for _, t in _runs(batches, ["block"]):
+            ids, member, x = np.asarray(t.column("id")), t.column("member").to_numpy(), _unit(_stack(t.column("x")))
+            m, o = np.flatnonzero(member), np.flatnonzero(~member)
+            if not len(m) or not len(o):
+                continue
+            hit = x[o] @ x[m].T >= limit
+            at = np.flatnonzero(hit.any(axis=1))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[o[at]]), pa.array(ids[m[hit[at].argmax(axis=1)]])], names=["a", "b"])
+
+    return both.select("block", "id", "member", "x").repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "a bigint, b bigint")
+
+
+def _placed(vectors: DataFrame, member: DataFrame) -> DataFrame:
+    """The vectors with their component; one without links is its own."""
+    return common.materialize(vectors.join(member.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "x", F.coalesce("component", "id").alias("component")), "placed")
+
+
+def _merged(member: DataFrame, links: DataFrame) -> DataFrame:
+    """member after further links (a, b)."""
+    return common.materialize(components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))), "members")
+
+
 def _audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
     """The share of the links of a bounded sample, found by comparison with all vectors, that the graph's components hold."""
     import pyarrow as pa
@@ -229,6 +304,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tables:
             if changed <= LEAST_CHANGE * entries:
                 break
         member = common.materialize(components(graph.where(F.col("sim") >= threshold - 1e-9).select(F.col("u").alias("a"), F.col("v").alias("b"))), "members")
+        member = _merged(member, _enlarged(graph, _placed(folded, member), k, threshold))
         recall = _audit(folded, member, threshold)
         if recall >= RECALL or k > 4 * LIST:
             break
