@@ -4,10 +4,10 @@ Vectors are compared within their label only. Equal vectors of a label are
 folded first. Then:
 
 1. Random hyperplanes cut each label into cells of bounded size, TABLES times
-   over; the nearest LIST vectors within a cell start the neighbour graph.
+   over, or more often where cells take more planes; the nearest LIST vectors within a cell start the neighbour graph.
 2. NN-descent: every vector brings its neighbours and those it is a neighbour of
    together, and pairs among them that are nearer than what either has enter
-   their lists. It ends when a round changes few entries, after ROUNDS at most.
+   their lists. It ends when a round changes few entries.
 3. Entries of at least the threshold are links, and their components are made. A
    list that holds nothing but links is saturated and may have pushed others out:
    its vector is compared with all vectors of other components of its label that
@@ -15,8 +15,10 @@ folded first. Then:
    Within components all vectors are compared in blocks of BLOCK by BLOCK, which
    gives the numbers of links.
 4. Recall is audited: AUDIT vectors (those of the smallest hash of their id) are
-   compared with all vectors. Under RECALL, lists and tables are doubled and the
-   descent is run again.
+   compared with all vectors. If fewer than RECALL of those with links have all of
+   them in their component, lists and tables are doubled and the descent is run
+   again; if that doesn't help, or too few of the sample have links to judge, all
+   vectors of a label are compared in blocks.
 
 Lists bound what a round explores, not the result: a link that a list pushes out
 leaves a saturated list, and those are enlarged without a cap. Only pairs that enter a list leave a task.
@@ -38,8 +40,12 @@ from . import common
 from .components import components
 
 THRESHOLD = 0.93
-TABLES, LIST, ROUNDS, LEAST_CHANGE = 6, 10, 3, 0.002
-CELL, BLOCK, AUDIT, RECALL = 256, 1024, 256, 0.98
+#: ROUNDS only guards against a descent that never settles.
+TABLES, LIST, ROUNDS, LEAST_CHANGE = 6, 10, 40, 0.002
+#: The audit compares AUDIT vectors; it can judge from LINKED vectors with links on.
+CELL, BLOCK, AUDIT, LINKED, RECALL = 256, 1024, 2048, 100, 0.98
+#: Tables at most that leave a pair at the threshold apart in all of them.
+APART = 0.01
 
 
 def _stack(column) -> np.ndarray:
@@ -88,23 +94,30 @@ def _out(a, b, c):
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["u", "v", "sim"])
 
 
-def _signed(vectors: DataFrame, tables: int, seed: int) -> DataFrame:
-    """A row for each vector and table: signs (bits of TABLES x 16 hyperplanes)."""
+def _tables(bits: int, tables: int, threshold: float) -> int:
+    """tables, or as many as a pair at the threshold needs to share a cell of so many bits but for a chance of APART; more in proportion where tables is over TABLES."""
+    meet = (1 - np.arccos(threshold) / np.pi) ** bits
+    need = int(np.ceil(np.log(APART) / np.log(1 - meet))) if meet < 1 else 1
+    return max(tables, -(-need * tables // TABLES))
+
+
+def _signed(vectors: DataFrame, seed: int) -> DataFrame:
+    """A row for each vector (id, g, x, tables) and table: signs (bits of tables x 16 hyperplanes)."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            ids, groups, widths = (np.asarray(batch.column(i)) for i in range(3))
-            for w in np.unique(widths):
-                at = np.flatnonzero(widths == w)
+            widths, tables = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            for w, n in np.unique(np.stack([widths, tables]), axis=1).T:
+                at = np.flatnonzero((widths == w) & (tables == n))
                 part = batch.take(pa.array(at))
-                rows = _unit(_stack(part.column(3)))
-                for t in range(tables):
+                rows = _unit(_stack(part.column(4)))
+                for t in range(n):
                     planes = np.random.default_rng([seed, t, int(w)]).standard_normal((int(w), 16))
                     bits = ((rows @ planes > 0) * (1 << np.arange(16))).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(at), t, np.int32)), pa.array(bits.astype(np.int32)), part.column(3)], names=["id", "g", "t", "bits", "x"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(at), t, np.int32)), pa.array(bits.astype(np.int32)), part.column(4)], names=["id", "g", "t", "bits", "x"])
 
-    return vectors.select("id", "g", F.size("x").alias("w"), "x").mapInArrow(run, "id bigint, g bigint, t int, bits int, x array<double>")
+    return vectors.select("id", "g", F.size("x").alias("w"), "tables", "x").mapInArrow(run, "id bigint, g bigint, t int, bits int, x array<double>")
 
 
 def _nearest_in_cells(cells: DataFrame, k: int) -> DataFrame:
@@ -123,11 +136,12 @@ def _nearest_in_cells(cells: DataFrame, k: int) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "id").select("cell", "id", "x").mapInArrow(run, "u bigint, v bigint, sim double")
 
 
-def _cells(vectors: DataFrame, tables: int, seed: int) -> DataFrame:
+def _cells(vectors: DataFrame, tables: int, seed: int, threshold: float = THRESHOLD) -> DataFrame:
     """cell, id, x: cells of about CELL vectors; a cell that stays too large is dealt out by a hash."""
     per = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     bits = per.select("g", F.least(F.greatest(F.ceil(F.log2(F.col("m") / CELL)), F.lit(0)), F.lit(16)).cast("int").alias("keep"))
-    signed = _signed(vectors, tables, seed).join(bits, "g").withColumn("raw", F.xxhash64("g", "t", F.col("bits").bitwiseAND((F.expr("shiftleft(1, keep)") - 1))))
+    bits = bits.withColumn("tables", F.get(F.array(*[F.lit(_tables(n, tables, threshold)) for n in range(17)]), "keep"))
+    signed = _signed(vectors.join(bits, "g"), seed).join(bits, "g").withColumn("raw", F.xxhash64("g", "t", F.col("bits").bitwiseAND((F.expr("shiftleft(1, keep)") - 1))))
     many = signed.groupBy("raw").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 4 * CELL).select("raw", F.ceil(F.col("m") / (2 * CELL)).cast("int").alias("parts"))
     return signed.join(many, "raw", "left").select(F.xxhash64("raw", F.pmod(F.xxhash64("t", "id"), F.coalesce("parts", F.lit(1)))).alias("cell"), "id", "x")
 
@@ -259,29 +273,34 @@ def _merged(member: DataFrame, links: DataFrame) -> DataFrame:
     return common.materialize(components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))), "members")
 
 
-def _audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
-    """The share of the links of a bounded sample, found by comparison with all vectors, that the graph's components hold."""
+def _audit(placed: DataFrame, threshold: float) -> tuple[float, int, bool]:
+    """Of a sample compared with all vectors: the share of the vectors with links whose links are all in their component, the number of those with links, and whether the sample is the whole table."""
     import pyarrow as pa
 
-    picked = vectors.orderBy(F.xxhash64(F.lit(3), "id")).limit(AUDIT).select("id", "g", "x").collect()
-    if not picked:
-        return 1.0
-    sample = vectors.sparkSession.sparkContext.broadcast([(r["id"], r["g"], np.array(r["x"])) for r in picked])
+    picked = placed.orderBy(F.xxhash64(F.lit(3), "id")).limit(AUDIT + 1).select("id", "g", "x", "component").collect()
+    whole, picked = len(picked) <= AUDIT, picked[:AUDIT]
+    kinds: dict = {}
+    for r in picked:
+        kinds.setdefault((r["g"], len(r["x"])), []).append(r)
+    stacked = [(g, w, np.array([r["id"] for r in rs]), np.array([r["component"] for r in rs]), _unit(np.array([r["x"] for r in rs]))) for (g, w), rs in kinds.items()]
+    sample = placed.sparkSession.sparkContext.broadcast(stacked)
 
     def run(batches):
         for batch in batches:
-            ids, g, x = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
-            width = np.diff(np.asarray(x.offsets))
-            for i, label, v in sample.value:
-                at = np.flatnonzero((g == label) & (width == len(v)) & (ids != i))
-                if len(at):
-                    near = at[_unit(_stack(x.take(pa.array(at)))) @ _unit(v[None, :])[0] >= threshold]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i)), pa.array(ids[near])], names=["a", "b"])
+            ids, g, of, x = (batch.column(i) for i in range(4))
+            ids, g, of, width = np.asarray(ids), np.asarray(g), np.asarray(of), np.diff(np.asarray(x.offsets))
+            for label, w, own, component, v in sample.value:
+                at = np.flatnonzero((g == label) & (width == w))
+                if not len(at):
+                    continue
+                near = (v @ _unit(_stack(x.take(pa.array(at)))).T >= threshold) & (own[:, None] != ids[at][None, :])
+                lost = (near & (component[:, None] != of[at][None, :])).sum(axis=1)
+                has = np.flatnonzero(near.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(own[has]), pa.array(lost[has].astype(np.int64))], names=["id", "lost"])
 
-    true = vectors.select("id", "g", "x").mapInArrow(run, "a bigint, b bigint")
-    one = true.join(links.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(links.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    total, held = one.agg(F.count(F.lit(1)), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-    return held / total if total else 1.0
+    each = placed.select("id", "g", "component", "x").mapInArrow(run, "id bigint, lost bigint").groupBy("id").agg(F.sum("lost").alias("lost"))
+    linked, held = each.agg(F.count(F.lit(1)), F.count(F.when(F.col("lost") == 0, 1))).first()
+    return (held / linked if linked else 1.0), linked, whole
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, k: int = LIST) -> DataFrame:
@@ -293,7 +312,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tables:
     # -0.0 and 0.0 are one value to the grouping, as to the cosine.
     folded = common.materialize(rows.where("x is not null").groupBy("g", "x").agg(F.min("vec_id").cast("bigint").alias("id"), F.count_distinct("vec_id").alias("many")), "vectors")
     while True:
-        first = _nearest_in_cells(_cells(folded, tables, 1), k).withColumn("fresh", F.lit(1))
+        first = _nearest_in_cells(_cells(folded, tables, 1, threshold), k).withColumn("fresh", F.lit(1))
         graph = common.materialize(_best(first, k), "graph")
         for _ in range(ROUNDS):
             new = _descend(graph, folded, k).withColumn("fresh", F.lit(1))
@@ -305,8 +324,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tables:
                 break
         member = common.materialize(components(graph.where(F.col("sim") >= threshold - 1e-9).select(F.col("u").alias("a"), F.col("v").alias("b"))), "members")
         member = _merged(member, _enlarged(graph, _placed(folded, member), k, threshold))
-        recall = _audit(folded, member, threshold)
-        if recall >= RECALL or k > 4 * LIST:
+        placed = _placed(folded, member)
+        recall, linked, whole = _audit(placed, threshold)
+        sure = whole or linked >= LINKED
+        if sure and recall >= RECALL:
+            break
+        if not sure or k > 4 * LIST:
+            # More lists don't help, or the sample can't tell: every vector is compared with all of its label.
+            links = _reached(placed.withColumn("reach", F.lit(threshold - 1e-9)), placed)
+            member = _merged(member, links.select(F.col("c").alias("a"), F.col("v").alias("b")))
+            recall = 1.0
             break
         tables, k = 2 * tables, 2 * k
     exact = _exact(folded, member, threshold)
