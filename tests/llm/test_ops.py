@@ -203,6 +203,33 @@ def test_decontamination_tolerates_substitutions(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_decontamination_masks_hit_every_accepted_run():
+    """Walks all strings of matches and mismatches that no mask hits: none is a run that overlap() accepts."""
+    masks, cost, least = decontaminate.MASKS, decontaminate.SUBST, decontaminate.LEAST
+    width, seen, todo = max(map(len, masks)), set(), [((), 0, 0, 0)]
+    while todo:
+        bits, score, best, hits = todo.pop()
+        for b in (1, 0):
+            now = score + (1 if b else -cost)
+            last = (*bits, b)[-width:]
+            if now < 0 or any(len(last) >= len(m) and all(c == "0" or x for c, x in zip(m, last[-len(m) :])) for m in masks):
+                continue
+            assert not (now > best and hits + b >= least), last
+            state = (last, now, max(best, now), min(hits + b, least))
+            if state not in seen:
+                seen.add(state)
+                todo.append(state)
+
+
+def test_decontamination_finds_sparse_matches(spark):
+    item, short = [f"b{i}" for i in range(50)], [f"c{i}" for i in range(15)]
+    texts = [["zz" if i % 7 == phase else w for i, w in enumerate(item)] for phase in range(7)] + [["zz" if i == at else w for i, w in enumerate(short)] for at in (0, 1, 2, 12, 13, 14)]
+    docs = spark.createDataFrame([(i, " ".join(["x", "y", *t, "x"])) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_SEEDS, 0):
+        assert {r.doc_id for r in decontaminate.find_overlaps(docs, bench, broadcast_seeds=limit).collect()} == set(range(len(texts)))
+
+
 def test_line_dedup(spark, odd, none):
     passage = "\n".join(" ".join(f"p{i}x{j}" for j in range(20)) for i in range(4))
     rows = [(1, f"own first line\n{passage}\nend of one"), (2, f"something else\nhere\n{passage}"), (3, "only\nunique lines\nstand here"), (4, passage), (5, "Short line.\nmine"), (6, "Short line.\nyours")]
