@@ -116,6 +116,14 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.jaccard_classes(none).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_class(spark):
+    word = lambda n, i: " ".join(f"{n}{i}w{j}" for j in range(20))
+    rows = [(None, word("n", i)) for i in range(6)] + [(None, word("n", 0)), (7, word("s", 1)), (7, word("s", 2)), (7, ""), (8, word("s", 1)), (9, ""), (9, None), (10, word("n", 3)), (7, ""), (5, word("s", 2))]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, word("n", i)) for i in (0, 1, 2, 4, 5)] + [(10, word("n", 3)), (7, word("s", 1)), (5, word("s", 2)), (7, ""), (7, ""), (9, ""), (9, None)]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((12, 16))
