@@ -187,6 +187,15 @@ def test_secrets(spark, odd, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_copied_within_one_source(spark):
+    """A value in many documents of one source is no live one; repeated rows count once."""
+    copied, live = "Zx9" + "aB3dE5" * 5, "Qw8" + "cD4fG6" * 5
+    rows = [(i, f"{copied} n{i}", "a", "") for i in range(30)] + [(100, live, "a", ""), (100, live, "a", ""), (101, f"{live} again", "a", "")]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all((got[i].n_live, got[i].n_copied, len(got[i].spans), got[i].counts[0].owners, got[i].counts[0].repos) == (0, 1, 0, 1, 30) for i in range(30))
+    assert all((got[i].n_live, got[i].n_copied, len(got[i].spans), got[i].counts[0].owners, got[i].counts[0].repos) == (1, 0, 1, 1, 2) for i in (100, 101))
+
+
 def test_licenses(spark, odd, none):
     df = spark.createDataFrame([(1, "Hi. Released under the MIT License, CC BY-NC 4.0", "", ""), (2, "Licensed under the Apache License, Version 2.0.", "", ""), (3, "x This work is licensed under the GNU General Public License, version 3.", "", "")], DOCS)
     got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
