@@ -259,6 +259,21 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.remove_repeated(none).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Passages of over 50 words in short lines go whole, with or without blanks, whatever stands around them; single short lines stay."""
+    rng, docs, want = random.Random(8), [], {}
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    for case in range(120):
+        lines, words = [(5, 11), (6, 9), (8, 7), (10, 6)][case % 4]
+        passage = [line(words) for _ in range(lines)] if case % 3 else ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(30)) for _ in range(lines)]
+        for copy in range(2):
+            before, after = ["Read on.", *(line(5) for _ in range(rng.randint(1, 3)))], [*(line(6) for _ in range(rng.randint(1, 3))), "See also."]
+            docs.append((2 * case + copy, "\n".join(before + passage + after)))
+            want[2 * case + copy] = "\n".join(before + (passage if not copy else []) + after)
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_classifiers_hold_out():
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
