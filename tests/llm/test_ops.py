@@ -204,6 +204,20 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_verified_by_words(spark):
+    """Versions and variants need their own words, a repeated gram counts once, and copies in a row are all found."""
+    gpl3 = "Licensed under the GNU General Public License version 3"
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+    cc = "licensed under a Creative Commons Attribution {}4.0 International License"
+    texts = {1: gpl3, 2: gpl3[:-1] + "2", 3: lgpl, 4: cc.format("ShareAlike "), 5: cc.format(""), 6: "licensed under the gnu " * 9, 7: "licensed under the GNU General Public License version 4", 8: " ".join([gpl3] * 6)}
+    own = [("rep", "a b c d a b c e f g"), ("long", "k l m k l m k l m n o p")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t, "", "") for i, t in texts.items()], DOCS)).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: ["gpl-3"], 2: ["gpl-2"], 3: ["lgpl"], 4: ["cc-by-sa"], 5: ["cc-by"], 6: [], 7: [], 8: ["gpl-3"]}
+    assert len(got[8].findings) == 6
+    more = spark.createDataFrame([(1, "a b c " * 9, "", ""), (2, "k l m " * 12 + "n o p", "", "")], DOCS)
+    assert {r.doc_id: r.labels for r in licenses.scan_licenses(more, own).collect()} == {1: [], 2: ["long"]}
+
+
 def test_decontamination_tolerates_substitutions(spark, odd, none):
     rng = random.Random(6)
     item = [f"b{i}" for i in range(40)]

@@ -4,8 +4,10 @@ Every text gives the rolling hashes of its word k-grams. They are joined with
 the places of the same k-grams in the license templates; a hit at word p of the
 text and word q of a template votes for the diagonal p - q. Votes are counted by
 (document, template, diagonal); neighbouring diagonals, which an inserted or
-dropped word sets apart, are merged, and a merged group is a finding when the
-words that its span shares with the template cover enough of it.
+dropped word sets apart, are merged, and a merged group is cut where its
+template starts again. A piece is a finding when the distinct places of the
+template that its span matches cover enough of it, among them the words that set
+a version or variant apart.
 
 The templates are a fixed list of this module (a few hundred words, so their
 broadcast is bounded whatever the corpus); a longer list of one's own is
@@ -55,6 +57,9 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
+#: Words of a label's templates that a finding has to have, as they set the license apart from others of nearly the same words.
+REQUIRED = {"apache-2": {"2"}, "gpl-2": {"2"}, "gpl-3": {"3"}, "mpl-2.0": {"2"}, "lgpl": {"lesser"}, "cc-by-nc": {"nc", "noncommercial"}, "cc-by-sa": {"sa", "sharealike"}}
+
 #: A word of the contract, before lower-casing: every run of digits, letters and what lies beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -72,15 +77,16 @@ def grams(words: Column) -> Column:
 
 
 def templates(spark: SparkSession, labelled=None) -> DataFrame:
-    """A row for each gram of a template or phrase: gram, template, label, base, q (place), grams (of the template), phrase (words)."""
-    rows = [(i, label, text, True) for i, (text, label) in enumerate(PHRASES.items())]
-    rows += [(len(rows) + i, label, text, False) for i, (label, text) in enumerate(labelled or TEMPLATES)]
-    table = spark.createDataFrame(rows, "template int, label string, text string, base boolean").select("template", "label", "base", F.split("text", " ").alias("phrase"))
-    return table.select("template", "label", "base", "phrase", (F.size("phrase") - K + 1).alias("grams"), F.posexplode(grams(F.col("phrase"))).alias("q", "gram")).where("gram is not null")
+    """A row for each gram of a template or phrase: gram, template, label, base, q (place), grams (of the template), phrase (words), must (places of required words)."""
+    must = lambda label, text: [k for k, w in enumerate(text.split(" ")) if w in REQUIRED.get(label, ())]
+    rows = [(i, label, text, True, []) for i, (text, label) in enumerate(PHRASES.items())]
+    rows += [(len(rows) + i, label, text, False, must(label, text)) for i, (label, text) in enumerate(labelled or TEMPLATES)]
+    table = spark.createDataFrame(rows, "template int, label string, text string, base boolean, must array<int>").select("template", "label", "base", "must", F.split("text", " ").alias("phrase"))
+    return table.select("template", "label", "base", "must", "phrase", (F.size("phrase") - K + 1).alias("grams"), F.posexplode(grams(F.col("phrase"))).alias("q", "gram")).where("gram is not null")
 
 
 def scan_licenses(docs: DataFrame, labelled=None) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels and labels (sorted arrays), findings (array of label, start, end, cover) and score."""
+    """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels and labels (sorted arrays), findings (array of label, start, end, cover, required, matched) and score."""
     spark = docs.sparkSession
     worded = docs.select("doc_id", common.row_key().alias("_row"), words_of(F.col("text")).alias("words"))
     each = worded.select("doc_id", "_row", "words", grams(F.col("words")).alias("grams")).select("doc_id", "_row", "words", F.posexplode_outer("grams").alias("p", "gram")).where("gram is not null")
@@ -89,25 +95,30 @@ def scan_licenses(docs: DataFrame, labelled=None) -> DataFrame:
     hits = each.join(F.broadcast(table) if small else table, "gram")
     # The words stand beside the hit, so the base phrases are compared word by word here.
     whole = F.col("base") & (F.col("q") == 0) & (F.slice("words", F.col("p") + 1, F.size("phrase")) == F.col("phrase"))
-    votes = hits.select("doc_id", "_row", "template", "label", "base", F.col("grams").alias("n"), (F.col("p") - F.col("q")).alias("diagonal"), "p", "q", whole.alias("whole"))
+    votes = hits.select("doc_id", "_row", "template", "label", "base", "must", F.col("grams").alias("n"), (F.col("p") - F.col("q")).alias("diagonal"), "p", "q", whole.alias("whole"))
     votes = votes.where("not base or whole")
-    lines = votes.groupBy("doc_id", "_row", "template", "label", "base", "n", "diagonal").agg(F.countDistinct("q").alias("votes"), F.min("p").alias("start"), (F.max("p") + K).alias("end"), F.min("q").alias("q0"), F.max("q").alias("q1"))
-    order = Window.partitionBy("doc_id", "_row", "template").orderBy("diagonal")
-    merged = lines.withColumn("_new", F.coalesce(((F.col("diagonal") - F.lag("diagonal").over(order)) > NEAR) | F.col("base"), F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(order))
-    spans = merged.groupBy("doc_id", "_row", "template", "label", "base", "n", "_group").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"))
-    # Verified: the grams that the merged span shares with the template, one gram each place at most.
-    cover = F.least(F.col("votes") / F.col("n"), F.lit(1.0))
-    spans = spans.withColumn("cover", F.when(F.col("base"), F.lit(1.0)).otherwise(cover)).where((F.col("cover") >= COVER) & ((F.col("end") - F.col("start")) <= 2 * (F.col("n") + K)))
+    order = Window.partitionBy("doc_id", "_row", "template").orderBy("diagonal", "p")
+    far = (F.col("diagonal") - F.lag("diagonal").over(order)) > NEAR
+    merged = votes.withColumn("_new", F.coalesce(far | F.col("base"), F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("doc_id", "_row", "template", "_group").orderBy("p", "q")
+    cut = (F.col("q") + NEAR < F.lag("q").over(along)) | (F.col("p") - F.lag("p").over(along) > F.col("n") + K)
+    pieces = merged.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("_piece", F.sum("_cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = pieces.groupBy("doc_id", "_row", "template", "label", "base", "must", "n", "_group", "_piece").agg(F.sort_array(F.collect_set("q")).alias("qs"), F.min("p").alias("start"), (F.max("p") + K).alias("end"))
+    # Verified: distinct places of the template, as grams and as words.
+    spans = spans.withColumn("places", F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + K - 1)))))
+    spans = spans.withColumn("cover", F.when(F.col("base"), F.lit(1.0)).otherwise(F.size("qs") / F.col("n"))).where((F.col("cover") >= COVER) & (F.size(F.array_except("must", "places")) == 0))
+    spans = spans.select("doc_id", "_row", "label", "base", "start", "end", "cover", F.size("must").alias("required"), F.size("places").alias("matched"))
     found = spans.groupBy(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).agg(
         F.count(F.when(F.col("base"), 1)).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("start"))).cast("bigint").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("start"))).cast("bigint").alias("last_word"),
         F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
-        F.array_sort(F.collect_set(F.when(~F.col("base"), F.struct("label", "start", "end", "cover")))).alias("findings"),
+        F.array_sort(F.collect_set(F.when(~F.col("base"), F.struct("label", "start", "end", "cover", "required", "matched")))).alias("findings"),
         F.max("cover").alias("score"),
     )
-    # Of findings that overlap, those of the best cover stay (versions of one license share most of their words).
-    beaten = lambda f: F.exists("findings", lambda g: (g["cover"] > f["cover"]) & (g["start"] < f["end"]) & (f["start"] < g["end"]))
+    # Of findings that overlap, those stay that have the most required words, then matched ones (versions of one license share most of their words).
+    rank = lambda f: F.struct(f["required"], f["matched"])
+    beaten = lambda f: F.exists("findings", lambda g: (rank(g) > rank(f)) & (g["start"] < f["end"]) & (f["start"] < g["end"]))
     found = found.withColumn("findings", F.filter("findings", lambda f: ~beaten(f))).withColumn("labels", F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("findings", lambda f: f["label"])))))
     counted = docs.select("doc_id", common.row_key().alias("_row"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
     out = counted.join(found, common.same(counted["doc_id"], found["_d"]) & (counted["_row"] == found["_r"]), "left")
