@@ -17,6 +17,7 @@ empty table.
 from __future__ import annotations
 
 import base64
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -28,8 +29,10 @@ from . import common
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens up to so many bytes are merged in numpy rows.
 WIDEST = 64
-#: Pre-tokens that a worker remembers; the memory is emptied when it is full.
-MEMO = 300_000
+#: Pre-tokens and bytes (of texts and ids, and 200 an entry) that a worker remembers; the memory is emptied when it is full.
+MEMO, MEMO_BYTES = 100_000, 32_000_000
+#: Code points whose classes are asked for, and ids that are decoded, at a time.
+ASKED, DECODED = 0x4000, 1_000_000
 #: Characters of text that are split at a time.
 GROUP_CHARS = 400_000
 
@@ -54,16 +57,21 @@ class Splitter:
         import tiktoken
 
         self.pattern = pattern or public_tokenizers.PATTERN
-        every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
         single = {bytes([i]): i for i in range(256)}
         odd: set[str] = set()
         exact = self.pattern
         for name in (r"\p{L}", r"\p{N}"):
-            theirs = bytes(tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
-            ours = "".join(regex.findall(name, every))
-            if ours != theirs:
-                odd |= set(ours) ^ set(theirs)
-                exact = exact.replace(name, self._ranges(theirs))
+            asked = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+            find, theirs, differ = regex.compile(name).findall, [], set()
+            for first in range(0, 0x110000, ASKED):
+                some = "".join(chr(c) for c in range(first, first + ASKED) if not 0xD800 <= c < 0xE000)
+                theirs.append(bytes(asked.encode_ordinary(some)).decode())
+                ours = "".join(find(some))
+                if ours != theirs[-1]:
+                    differ |= set(ours) ^ set(theirs[-1])
+            if differ:
+                odd |= differ
+                exact = exact.replace(name, self._ranges("".join(theirs)))
         self.odd = frozenset(odd)
         self.fast = regex.compile(self.pattern).findall
         self.exact_pattern = self._join_sets(exact)
@@ -102,15 +110,14 @@ class Merger:
         self.words = [b""] * (max(ranks.values()) + 1)
         for w, r in ranks.items():
             self.words[r] = w
-        keys, vals = [], []
+        keys, vals = array("q"), array("i")
         for w, r in ranks.items():
             for cut in range(1, len(w)):
                 a, b = ranks.get(w[:cut]), ranks.get(w[cut:])
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     vals.append(r)
-        self.pairs = dict(zip(keys, vals))
-        self._build(np.array(keys, dtype=np.int64), np.array(vals, dtype=np.int32))
+        self._build(np.frombuffer(keys, dtype=np.int64), np.frombuffer(vals, dtype=np.int32))
 
     def _build(self, keys: np.ndarray, vals: np.ndarray) -> None:
         """An open hash table of pairs; probes go to the next place, so a lookup takes at most self.probes steps."""
@@ -158,12 +165,13 @@ class Merger:
         if n == 0:
             return []
         width = 1 << max(1, (n - 1).bit_length())
-        pairs, none = self.pairs, int(NONE)
+        ranks, words, none = self.ranks, self.words, int(NONE)
+        pair = lambda a, b: ranks.get(words[a] + words[b], none)
         ids = [int(self.byte_ids[c]) for c in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            tree[width + i] = pairs.get(ids[i] << 32 | ids[i + 1], none)
+            tree[width + i] = pair(ids[i], ids[i + 1])
         for k in range(width - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
@@ -189,9 +197,9 @@ class Merger:
             put(j, none)
             if right < n:
                 before[right] = i
-            put(i, pairs.get(best << 32 | ids[right], none) if right < n else none)
+            put(i, pair(best, ids[right]) if right < n else none)
             if (left := before[i]) >= 0:
-                put(left, pairs.get(ids[left] << 32 | best, none))
+                put(left, pair(ids[left], best))
         return [x for x in ids if x >= 0]
 
     def encode_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
@@ -254,15 +262,18 @@ class Encoder:
         self.split = Splitter()
         self.merger = Merger(load_ranks(path))
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, pieces) -> None:
         """Have the ids of all of pieces in the memo."""
         memo, ranks = self.memo, self.merger.ranks
-        if len(memo) > MEMO:
+        if len(memo) > MEMO or self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
         rows: dict[int, list[tuple[str, bytes]]] = {}
         for piece in set(pieces).difference(memo):
             raw = piece.encode("utf-8", "surrogatepass")
+            self.held += 200 + 5 * len(raw)
             whole = ranks.get(raw)
             if whole is not None:
                 memo[piece] = whole.to_bytes(4, "little")
@@ -311,6 +322,38 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class Decoder:
+    """Packed ids to bytes, out of one buffer of all words."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        words = [b""] * (max(ranks.values()) + 1)
+        for w, r in ranks.items():
+            words[r] = w
+        self.sizes = np.array(list(map(len, words)), dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+
+    def __call__(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, dtype="<u4")
+        return b"".join(self._part(ids[a : a + DECODED]) for a in range(0, len(ids), DECODED))
+
+    def _part(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+
+
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    """This worker's decoder; it needs no encoder."""
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
 def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """df with ids (binary: packed little-endian unsigned 32-bit ids) and n_tokens (long)."""
     import pyarrow as pa
@@ -318,7 +361,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFr
     path = path or default_path()
 
     def made(batch):
-        out = list(encoder(path).encode(common.texts_of(batch.column(text))))
+        out = [x for texts in common.text_slices(batch.column(batch.schema.get_field_index(text))) for x in encoder(path).encode(texts)]
         return [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())]
 
     return common.add_columns(df, made, "ids binary, n_tokens bigint")
@@ -331,8 +374,8 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
     path = path or default_path()
 
     def made(batch):
-        words = encoder(path).merger.words.__getitem__
-        return [pa.array([b"".join(map(words, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column(ids).to_pylist()], pa.binary())]
+        words, column = decoder(path), batch.column(batch.schema.get_field_index(ids))
+        return [pa.array((words(x.as_py() or b"") for x in column), pa.binary())]
 
     return common.add_columns(df, made, "decoded binary")
 

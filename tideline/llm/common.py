@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
-from pyspark import cloudpickle  # noqa: F401  (fails early where PySpark is broken)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in a local session (tests); on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tideline-checkpoint")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -91,21 +93,52 @@ def texts_of(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def text_slices(column, size: int = 1_000_000):
+    """The strings of an Arrow column in lists of about size bytes at most (one string at least), so a batch isn't held twice as Python's strings."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64) + 64)
+    start = 0
+    while start < len(column):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts_of(column.slice(start, end - start))
+        start = end
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it so that df has no column of it (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def packed(df: DataFrame, *apart: str) -> tuple[DataFrame, list[Column]]:
+    """df as a struct row of all columns but those of apart, and these; and the columns that give df back. No name that is added can clash with one of df's."""
+    others = [c for c in df.columns if c not in apart]
+    inner = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    back = [F.col(c) if c in apart else F.col("row")[c].alias(c) for c in df.columns]
+    return df.select(inner.alias("row"), *[F.col(c) for c in apart]), back
+
+
 def add_columns(df: DataFrame, fn, schema: str) -> DataFrame:
-    """df with the columns that fn(RecordBatch) -> list of Arrow arrays makes; columns of the same names are replaced."""
+    """df with the columns that fn(RecordBatch) -> list of Arrow arrays makes; columns of the same names, in either case, are replaced."""
     import pyarrow as pa
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     ship(df.sparkSession)
     new = _parse_datatype_string(schema)
     names = [f.name for f in new.fields]
-    kept = [f for f in df.schema.fields if f.name not in names]
+    taken = {n.lower() for n in names}
+    places = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in taken]
+    kept = [df.schema.fields[i] for i in places]
     out = StructType(kept + list(new.fields))
 
     def run(batches):
         for batch in batches:
             made = fn(batch)
-            keep = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*keep, *made], names=[f.name for f in kept] + names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], *made], names=[f.name for f in kept] + names)
 
     return df.mapInArrow(run, out)

@@ -14,8 +14,9 @@ documents are read once more for the verification. Nothing is capped.
 
 Defined results: null and empty texts and items match nothing; items of fewer
 words than a mask match if all of their words stand consecutively; repeated rows
-and items give repeated findings; other columns are not returned; an empty
-table gives an empty table.
+(one doc_id and text) and repeated items (one item_id and text) count once, while
+other texts of one id are rows and items of their own; of runs that score alike the
+first is taken; other columns are not returned; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -53,16 +54,16 @@ def seeds(hashes: Column, masks) -> Column:
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """item_id, item (word hashes), q (place of the window) and seed."""
-    base = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") > 0)
+    """item_id, item_key (hash of the text), item (word hashes), q (place of the window) and seed."""
+    base = benchmark.select("item_id", F.xxhash64("text").alias("item_key"), word_hashes(F.col("text")).alias("item")).where(F.size("item") > 0)
     long, width = list(enumerate(MASKS)), max(map(len, MASKS))
     # Shorter items go by words on end: the short mask, or all of their words.
     tiny = len(SHORT)
     return (
         base.withColumn("s", F.when(F.size("item") >= width, seeds(F.col("item"), long)).when(F.size("item") >= tiny, seeds(F.col("item"), [(-1, SHORT)])).otherwise(F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.lit(-1 - 100), F.element_at("item", 1)).alias("seed")))))
-        .select("item_id", "item", F.explode_outer("s").alias("s"))
+        .select("item_id", "item_key", "item", F.explode_outer("s").alias("s"))
         .where("s is not null")
-        .select("item_id", "item", F.col("s.place").alias("q"), F.col("s.seed").alias("seed"))
+        .select("item_id", "item_key", "item", F.col("s.place").alias("q"), F.col("s.seed").alias("seed"))
     )
 
 
@@ -100,17 +101,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int =
     if sizes["n"] <= broadcast_seeds:
         each = windows.select("doc_id", "row_key", "words", F.explode_outer("s").alias("s")).where("s is not null").select("doc_id", "row_key", "words", F.col("s.place").alias("p"), F.col("s.seed").alias("seed"))
         # The document's words stand beside the hit, so the window is cut out before anything is shuffled.
-        hits = each.join(F.broadcast(targets), "seed").select("doc_id", "row_key", "item_id", "item", diagonal, "words").select("doc_id", "row_key", "item_id", "item", "diagonal", beside(F.col("diagonal")).alias("window"))
+        hits = each.join(F.broadcast(targets), "seed").select("doc_id", "row_key", "item_id", "item_key", "item", diagonal, "words").select("doc_id", "row_key", "item_id", "item_key", "item", "diagonal", beside(F.col("diagonal")).alias("window"))
     else:
         each = windows.select("doc_id", "row_key", F.explode_outer("s").alias("s")).where("s is not null").select("doc_id", "row_key", F.col("s.place").alias("p"), F.col("s.seed").alias("seed"))
-        pairs = each.join(targets.drop("item"), "seed").select("doc_id", "row_key", "item_id", diagonal).distinct()
-        items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item"))
+        pairs = each.join(targets.drop("item"), "seed").select("doc_id", "row_key", "item_id", "item_key", diagonal).distinct()
+        items = benchmark.select(F.col("item_id").alias("_i"), F.xxhash64("text").alias("_k"), word_hashes(F.col("text")).alias("item")).dropDuplicates(["_i", "_k"])
         back = hashed.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_r"), "words").dropDuplicates(["_d", "_r"])
-        hits = pairs.join(items, common.same(pairs["item_id"], items["item_id"])).drop(items["item_id"]).join(back, common.same(F.col("doc_id"), F.col("_d")) & (F.col("row_key") == F.col("_r")))
-        hits = hits.select("doc_id", "row_key", "item_id", "item", "diagonal", beside(F.col("diagonal")).alias("window"))
+        hits = pairs.join(items, common.same(F.col("item_id"), F.col("_i")) & (F.col("item_key") == F.col("_k"))).join(back, common.same(F.col("doc_id"), F.col("_d")) & (F.col("row_key") == F.col("_r")))
+        hits = hits.select("doc_id", "row_key", "item_id", "item_key", "item", "diagonal", beside(F.col("diagonal")).alias("window"))
     # A negative offset: the document begins inside the item.
     cut = F.when(F.col("diagonal") < 0, F.slice("item", 1 - F.col("diagonal"), F.size("item"))).otherwise(F.col("item"))
-    once = hits.groupBy("doc_id", "row_key", "item_id", "diagonal").agg(F.first("window").alias("window"), F.first("item").alias("item"))
+    once = hits.groupBy("doc_id", "row_key", "item_id", "item_key", "diagonal").agg(F.first("window").alias("window"), F.first("item").alias("item"))
     run = once.select("doc_id", "row_key", "item_id", "diagonal", F.size("item").alias("item_words"), overlap(F.col("window"), cut).alias("run"))
     start = F.greatest(F.col("diagonal"), F.lit(0)) + F.col("run.b_start")
     kept = run.where(F.col("run.b_hits") >= F.least(F.lit(LEAST), F.col("item_words")))

@@ -105,9 +105,17 @@ def redundant(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", drop_emptied: bool = False) -> DataFrame:
-    """docs without repeated passages, and n_chunks and n_removed (long; chunks that lost lines). drop_emptied: without the rows that nothing is left of."""
-    gone = redundant(docs, text)
-    joined = docs.join(gone, common.same(docs["doc_id"], gone["_d"]) & (common.row_key("doc_id", text) == gone["_r"]), "left").drop("_d", "_r")
+    """docs without repeated passages, and n_chunks and n_removed (long; chunks that lost lines), which replace columns of these names. drop_emptied: without the rows that nothing is left of."""
+    rows, back = _without_repeated(docs, text, drop_emptied)
+    made = {"n_chunks", "n_removed"}
+    return rows.select(*[c for c, name in zip(back, docs.columns) if name.lower() not in made], *sorted(made))
+
+
+def _without_repeated(docs: DataFrame, text: str, drop_emptied: bool) -> tuple[DataFrame, list[Column]]:
+    """docs in packed form, with n_chunks and n_removed, and the columns that give docs' own back."""
+    packed, back = common.packed(docs, "doc_id", text)
+    gone = redundant(docs.select("doc_id", text), text)
+    joined = packed.join(gone, common.same(packed["doc_id"], gone["_d"]) & (common.row_key("doc_id", text) == gone["_r"]), "left").drop("_d", "_r")
     parts = joined.withColumn("_laid", layout(F.col(text)))
     spans, lines = F.col("_laid.spans"), F.col("_laid.lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
@@ -115,11 +123,17 @@ def remove_repeated(docs: DataFrame, text: str = "text", drop_emptied: bool = Fa
     lost = F.size(F.filter(spans, lambda s: F.arrays_overlap(F.sequence(s["start"], s["end"]), F.col("gone"))))
     made = {"n_chunks": F.when(F.col("_laid").isNull(), 0).otherwise(F.size(spans)).cast("bigint"), "n_removed": F.when(F.col("gone").isNotNull(), lost).otherwise(0).cast("bigint"), text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)}
     # A generator of one row: a filter above it isn't pushed below, where all of this would be made twice.
-    others = [c for c in docs.columns if c not in made]
-    out = parts.select(*others, F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))).alias("_made")).select(*[F.col("_made")[c].alias(c) if c in made else F.col(c) for c in docs.columns], *[F.col("_made")[c].alias(c) for c in made if c not in docs.columns])
+    out = parts.select("row", "doc_id", F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))).alias("_made")).select("row", "doc_id", *[F.col("_made")[c].alias(c) for c in made])
     if drop_emptied:
         out = out.where((F.col("n_removed") == 0) | (F.trim(F.translate(text, "\n", " ")) != ""))
-    return out
+    return out, back
+
+
+def remove_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, its own columns alone, without repeated passages and without the rows that nothing is left of. A column n_chars follows the text where that lost lines."""
+    rows, back = _without_repeated(docs, text, drop_emptied=True)
+    length = lambda f: F.when(F.col("n_removed") > 0, F.length(text).cast(f.dataType)).otherwise(F.col("row")[f.name]).alias(f.name)
+    return rows.select(*[length(f) if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer") else c for f, c in zip(docs.schema.fields, back)])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ class Model:
         a = 0
         while a < len(marked):
             b = a + 1
-            while b < len(marked) and len(seqs[marked[b]]) * (b + 1 - a) <= 1_000_000:
+            while b < len(marked) and len(seqs[marked[b]]) * (b + 1 - a) <= 200_000:
                 b += 1
             for i, m in zip(marked[a:b], self.crf.marginals([seqs[i] for i in marked[a:b]])[0]):
                 p[i] = m
@@ -189,9 +189,9 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def made(batch):
-        texts, scores, spans = common.texts_of(batch.column(text)), [], []
-        for a in range(0, len(texts), 500):
-            s, r = sent.value.score(texts[a : a + 500])
+        scores, spans = [], []
+        for texts in common.text_slices(batch.column(batch.schema.get_field_index(text))):
+            s, r = sent.value.score(texts)
             scores += s.tolist()
             spans += [[{"start": x, "end": z} for x, z in one] for one in r]
         return [pa.array(scores, pa.float64()), pa.array(spans, kind)]
@@ -205,8 +205,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score is under cut, all columns. The model is fitted on corpus (docs if not given)."""
-    scored = score_documents(docs, trained(docs if corpus is None else corpus, labels))
-    return scored.where(F.col("score") < cut).select(*docs.columns)
+    rows, back = common.packed(docs, "text")
+    scored = score_documents(rows, trained(docs if corpus is None else corpus, labels))
+    return scored.where(F.col("score") < cut).select(*back)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
