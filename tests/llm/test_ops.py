@@ -311,6 +311,84 @@ def test_classifiers_hold_out():
     assert len(net.forward([b"", b"x" * 5000])[0]) == 2
 
 
+def test_chain_by_enumeration():
+    """Marginals, expected steps and P0 of short chains beside all their paths, and the gradient beside differences."""
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    chain = toxicity.Chain()
+    chain.arc, chain.start = rng.normal(size=3), 0.4
+    emits = [rng.normal(size=n) for n in (1, 5, 3, 7)]
+    p, log_p0, steps = chain.run(emits, steps=True)
+    for e, q, l, st in zip(emits, p, log_p0, steps):
+        paths = {z: np.exp(chain.start * z[0] + sum(x * y for x, y in zip(e, z)) + sum((chain.arc[0], chain.arc[1], chain.arc[2])[{(0, 1): 0, (1, 0): 1, (1, 1): 2}[ab]] if ab != (0, 0) else 0 for ab in zip(z, z[1:]))) for z in product((0, 1), repeat=len(e))}
+        total = sum(paths.values())
+        assert np.allclose(q, [sum(w for z, w in paths.items() if z[i]) / total for i in range(len(e))])
+        assert np.isclose(l, -np.log(total))  # the clean path has weight 1
+        assert np.allclose(st, [sum(w * list(zip(z, z[1:])).count(ab) for z, w in paths.items()) / total for ab in ((0, 1), (1, 0), (1, 1))])
+    texts = [[rng.choice(list("abcdefgh")) for _ in range(rng.integers(1, 30))] for _ in range(20)]
+    model = toxicity.Model()
+    sample = toxicity.Sample(texts, [int("a" in t) for t in texts], model)
+    model.weight[:] = rng.normal(size=len(model.weight))
+    model.chain.arc, model.chain.start = rng.normal(size=3), 0.3
+    _, g, arc, start = sample.likelihood()
+    for i in [0, *rng.integers(1, len(g), 6).tolist()]:
+        model.weight[i] += 1e-5
+        up = sample.likelihood()[0]
+        model.weight[i] -= 2e-5
+        assert np.isclose((up - sample.likelihood()[0]) / 2e-5, g[i], atol=1e-4)
+        model.weight[i] += 1e-5
+    for i in range(3):
+        model.chain.arc[i] += 1e-5
+        up = sample.likelihood()[0]
+        model.chain.arc[i] -= 2e-5
+        assert np.isclose((up - sample.likelihood()[0]) / 2e-5, arc[i], atol=1e-4)
+        model.chain.arc[i] += 1e-5
+    assert all(np.allclose(a, model.emission(t)) for a, t in zip(sample.emissions(), texts))
+
+
+def test_toxicity_is_no_word_list():
+    """Words never seen are caught by their affixes, and score and spans say where."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    docs = [([word() for _ in range(rng.randint(10, 40))], i % 2) for i in range(400)]
+    for w, y in docs:
+        for _ in range(2 * y):
+            w.insert(rng.randrange(len(w)), "zonk" + word())
+    model = toxicity.fit([" ".join(w) for w, _ in docs], [y for _, y in docs])
+    texts = ["abc def zonkxyz ghi zonkdefg", "abc def ghi", "", "\U0001F600 \u0130 zonkdefg zonkabcd"]
+    score, spans = model.score(texts)
+    assert not model.leaning and score[0] >= toxicity.CUT > max(score[1], score[2]) and score[3] >= toxicity.CUT
+    assert spans[0][-1] == (20, 28) and spans[3] == [(4, 21)] and not spans[1] and not spans[2]
+
+
+def test_network_by_text_alone():
+    """A text's score doesn't depend on its neighbours; the gradient equals differences; all of a long text counts."""
+    rng = np.random.default_rng(1)
+    net = byte_cnn.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = [rng.integers(1, 255, n, dtype=np.uint8).tobytes() for n in (0, 1, 3, 126, 127, 128, 129, 256, 384, 2000)]
+    alone = [float(net.forward([t])[0][0]) for t in texts]
+    for _ in range(3):
+        at = rng.permutation(len(texts))
+        assert np.allclose(net.forward([texts[i] for i in at])[0], [alone[i] for i in at], atol=1e-6)
+    y = rng.integers(0, 2, len(texts)).astype(np.float64)
+    loss = lambda: (lambda s: -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)))(np.clip(net.forward(texts)[0].astype(np.float64), 1e-9, 1 - 1e-9))
+    _, g = net.gradients(texts, y)
+    for k, v in net.p.items():
+        at = np.unravel_index(int(np.abs(g[k]).argmax()), v.shape)
+        keep = v[at]
+        v[at] = keep + 1e-3
+        up = loss()
+        v[at] = keep - 1e-3
+        assert np.isclose((up - loss()) / 2e-3, g[k][at], rtol=0.1, atol=1e-4), k
+        v[at] = keep
+    net = byte_cnn.fit(["ab " * 30 + "#" * 9 * (i % 2) + "cd " * 30 for i in range(200)], [i % 2 for i in range(200)])
+    long = "ab " * 40_000
+    a, b = net.forward([long.encode()])[0][0], net.forward([(long + "#########" + long).encode()])[0][0]
+    assert a < 0.5 < b
+
+
 def test_score_tables(odd, none):
     model = toxicity.fit(["a b"] * 3 + ["zonk b"], [0, 0, 0, 1])
     net = byte_cnn.fit([], [])

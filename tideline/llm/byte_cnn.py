@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy (operator 4).
 
 A text's UTF-8 bytes are cut into chunks of CHUNK bytes, each overlapping the one
-before by half; together they cover all of it. FILTERS learned filters of WIDTH
+before by half; together they cover all of it (but for filters that would start in
+the last WIDTH - 1 bytes of a text that fills its last half chunk). FILTERS learned filters of WIDTH
 bytes run over every place (a filter is a table of weights for each place and
 byte value). A chunk is described by the greatest and the mean activation of each
 filter and, through a hidden layer, by HIDDEN units; the units' greatest values
@@ -66,7 +67,8 @@ class Network:
         real = np.full(starts[-1], half, np.float32)
         for r, a, c in zip(raws, starts, counts):
             data[a * half : a * half + len(r)] = np.frombuffer(r, np.uint8)
-            real[a + c - 1] = max(1, len(r) - (c - 1) * half)
+            # A filter may not read into the next text: places that lack room before it don't count.
+            real[a + c - 1] = max(1, min(len(r) - (c - 1) * half, half - WIDTH + 1))
         return data, real, starts
 
     def halves(self, data: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,17 +174,11 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text") -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def made(batch):
-        own, scores, group, size = Network(), [], [], 0
+        own, scores = Network(), []
         own.p = sent.value
         own.freeze()
-        for t in common.texts_of(batch.column(text)):
-            group.append(t.encode("utf-8", "surrogatepass"))
-            size += len(group[-1]) + CHUNK
-            if size > 2_000_000:
-                scores += own.forward(group)[0].tolist()
-                group, size = [], 0
-        if group:
-            scores += own.forward(group)[0].tolist()
+        for texts in common.text_slices(batch.column(batch.schema.get_field_index(text))):
+            scores += own.forward([t.encode("utf-8", "surrogatepass") for t in texts])[0].tolist()
         return [pa.array(scores, pa.float64())]
 
     return common.add_columns(docs, made, "score double")

@@ -1,25 +1,29 @@
 """Toxic spans by a linear-chain conditional random field (operator 3).
 
-Labels name documents, so tokens are labelled first: a word is a sign if it
-stands in more contexts (the words before and after it) of toxic documents than
-chance lets it, and its places in toxic documents are the labelled tokens.
-Contexts are counted once, so a group of copies weighs no more than one text. A chain of two states (clean, toxic) is fitted
-to them by gradient ascent on the conditional likelihood; the gradient comes from
-forward-backward marginals. Each sign has a weight of its own, all other words
-share one. A document's score is a logistic function of what the marginals of its
-tokens sum to and of the highest; runs of tokens whose marginal is at least a half
-are its offending spans.
+A chain of two states (clean, toxic) runs over a text's words. A word's features
+are itself, its first and last three letters, its shape, how far it leans to toxic
+documents, and the words before and after it; features of fewer than LEAST_CONTEXTS different contexts in the sample
+aren't used. Labels name documents, so they label the tokens in part: all tokens of a
+clean document are clean, and a toxic one has a toxic token somewhere. The chain is
+fitted to that by gradient ascent: with P0 the probability of the path that is
+clean throughout, a clean document's likelihood is P0 and a toxic one's 1 - P0,
+both mixed with a chance NOISE of a wrong label. The gradient comes from
+forward-backward marginals, which also say which tokens of a toxic document it
+blames. Copies of a sample document count once.
+
+A document's score is a logistic function of the log odds of P0, the highest
+marginal and their sum; runs of tokens whose marginal is at least a half are its
+offending spans.
 
 Defined results: null and empty texts have no tokens and get the score of a text
-without signs; without labels of both kinds every score is 0; repeated rows are
-scored one by one; extra columns pass through (those named like an output are
+without toxic tokens; without labels of both kinds every score is 0; repeated rows
+are scored one by one; extra columns pass through (those named like an output are
 replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,119 +33,145 @@ from . import common, training
 
 CUT = 0.7
 WORD = re.compile(r"[^\W_]+")
-#: A sign has so many contexts in toxic sample documents at least, and its share of all contexts is so many times that in the others.
-LEAST_CONTEXTS, LEAST_RATIO = 5, 5.0
-#: The chain is fitted to so many sample documents, of so many tokens each at most.
-FIT_DOCS, FIT_TOKENS = 800, 1500
+#: A feature stands in so many different contexts (words before and after) of the sample at least.
+LEAST_CONTEXTS = 5
+#: Steps of a feature that says how many standard deviations more contexts in toxic sample documents a word has than chance lets it.
+SURPLUS = (2, 4, 8)
+#: The chain is fitted to sample documents of so many tokens at most, and so many tokens in all.
+FIT_TOKENS, FIT_TOTAL = 1500, 400_000
+#: Chance that a document's label is wrong; steps of the ascent, their size and the pull to 0, of words themselves and of features that words share.
+NOISE, ROUNDS, RATE, SHRINK, SHRINK_SHARED = 0.03, 40, 0.25, 0.01, 0.1
+#: Words whose weights a worker remembers, and tokens whose chains run side by side.
+REMEMBERED, SIDE_BY_SIDE = 200_000, 200_000
 
 
 def tokens(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(text)
 
 
-class Crf:
-    """weight: of each feature for the toxic state; arc: log weights of the steps [from, to]; start: of the first token."""
+def features(word: str) -> tuple[list[str], str, str]:
+    """A word's features for its own place, for the place after it and for the place before it."""
+    low = word.lower()
+    shape = "9" if word.isdigit() else "A" if word.isupper() else "Aa" if word[:1].isupper() else "a" if word.islower() else "x"
+    return ["w" + low, "p" + low[:3], "s" + low[-3:], f"f{shape}{min(len(word), 9)}"], "b" + low, "a" + low
 
-    def __init__(self, features: int):
-        self.weight = np.zeros(features)
-        self.weight[0] = -3.0
-        self.arc = np.zeros((2, 2))
-        self.start = 0.0
 
-    def marginals(self, seqs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        """P(toxic) of each token, and the expected number of each step. Sequences run side by side, long ones first."""
-        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-        n, longest = len(seqs), len(seqs[order[0]]) if seqs else 0
-        lens = np.array([len(seqs[i]) for i in order])
+class Chain:
+    """arc: log weights of the steps clean to toxic, toxic to clean and toxic to toxic (clean to clean is 0); start: of a toxic first token."""
+
+    def __init__(self):
+        self.arc, self.start = np.array([0.0, 0.0, 0.0]), 0.0
+
+    def run(self, emits: list[np.ndarray], steps: bool = False):
+        """P(toxic) of each token, log P0 of each text and, if asked for, the expected steps of each text. Texts run side by side, long ones first."""
+        order = sorted(range(len(emits)), key=lambda i: -len(emits[i]))
+        n, longest = len(emits), len(emits[order[0]])
+        lens = np.array([len(emits[i]) for i in order])
         emit = np.zeros((longest, n))
         for col, i in enumerate(order):
-            emit[: len(seqs[i]), col] = self.weight[seqs[i]]
+            emit[: len(emits[i]), col] = emits[i]
         active = np.searchsorted(-lens, -np.arange(longest), side="left")
-        a = np.exp(self.arc)
-        odds, ahead = np.zeros((longest, n)), np.zeros((longest, n))  # log odds of toxic: from the past with the token, from the future
+        a01, a10, a11 = np.exp(self.arc)
+        odds, ahead, log_clean = np.zeros((longest, n)), np.zeros((longest, n)), np.zeros(n)  # log odds of toxic: by the past and the token, by the future
         for t in range(longest):
             m = active[t]
-            r = np.full(m, self.start) if t == 0 else self._step(odds[t - 1, :m], a)
-            odds[t, :m] = np.clip(r + emit[t, :m], -40, 40)
+            if t == 0:
+                odds[0] = np.clip(self.start + emit[0], -40, 40)
+                continue
+            e = np.exp(odds[t - 1, :m])
+            keep = 1 + a10 * e
+            log_clean[:m] += np.log(keep)
+            odds[t, :m] = np.clip(np.log((a01 + a11 * e) / keep) + emit[t, :m], -40, 40)
         for t in range(longest - 2, -1, -1):
             m = active[t + 1]
-            ahead[t, :m] = self._step(np.clip(ahead[t + 1, :m] + emit[t + 1, :m], -40, 40), a.T)
+            e = np.exp(np.clip(ahead[t + 1, :m] + emit[t + 1, :m], -40, 40))
+            ahead[t, :m] = np.log((a10 + a11 * e) / (1 + a01 * e))
         p = 1 / (1 + np.exp(-(odds + ahead)))
-        steps = np.zeros((2, 2))
+        log_p0 = -(log_clean + np.log1p(np.exp(odds[lens - 1, np.arange(n)])))
+        out, back = [np.empty(0)] * n, np.empty(n)
+        for col, i in enumerate(order):
+            out[i], back[i] = p[: lens[col], col], log_p0[col]
+        if not steps:
+            return out, back
+        expected = np.zeros((n, 3))
         if longest > 1:
+            f, g = np.exp(odds[:-1]), np.exp(np.clip(ahead[1:] + emit[1:], -40, 40))
+            joint = [a01 * g, a10 * f, a11 * f * g]
+            total = 1 + joint[0] + joint[1] + joint[2]
             inside = np.arange(1, longest)[:, None] < lens[None, :]
-            f = 1 / (1 + np.exp(-odds[:-1]))
-            g = 1 / (1 + np.exp(-np.clip(ahead[1:] + emit[1:], -40, 40)))
-            joint = [[(f if x else 1 - f) * a[x, y] * (g if y else 1 - g) for y in (0, 1)] for x in (0, 1)]
-            total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-            steps = np.array([[float((joint[x][y] / total)[inside].sum()) for y in (0, 1)] for x in (0, 1)])
-        out: list[np.ndarray] = [np.empty(0)] * n
-        for col, i in enumerate(order):
-            out[i] = p[: lens[col], col]
-        return out, steps
-
-    @staticmethod
-    def _step(r: np.ndarray, a: np.ndarray) -> np.ndarray:
-        e = np.exp(r)
-        return np.log((a[0, 1] + a[1, 1] * e) / (a[0, 0] + a[1, 0] * e))
-
-    def fit(self, seqs: list[np.ndarray], tags: list[np.ndarray], rounds: int = 80, rate: float = 0.25, shrink: float = 0.01) -> None:
-        true_w = np.zeros(len(self.weight))
-        true_s, true_start = np.zeros((2, 2)), 0.0
-        for s, y in zip(seqs, tags):
-            np.add.at(true_w, s, y)
-            np.add.at(true_s, (y[:-1], y[1:]), 1)
-            true_start += y[0]
-        seen = np.maximum(np.bincount(np.concatenate(seqs), minlength=len(self.weight)), 1)
-        total = sum(map(len, seqs))
-        for _ in range(rounds):
-            p, steps = self.marginals(seqs)
-            got = np.bincount(np.concatenate(seqs), weights=np.concatenate(p), minlength=len(self.weight))
-            self.weight += rate * np.clip((true_w - got) / np.sqrt(seen * np.maximum(got, 0.5)), -2, 2) - shrink * rate * np.where(np.arange(len(self.weight)) > 0, self.weight, 0)
-            move = (true_s - steps) / np.sqrt(np.maximum(true_s, 1) * np.maximum(total, 1)) ** 0.5 / np.maximum(steps, 1) ** 0.5
-            self.arc = np.clip(self.arc + rate * np.clip(move, -1, 1), -6, 6)
-            self.start = float(np.clip(self.start + rate * (true_start - sum(x[0] for x in p)) / len(seqs), -6, 6))
+            for k, j in enumerate(joint):
+                expected[order, k] = np.where(inside, j / total, 0).sum(axis=0)
+        return out, back, expected
 
 
 class Model:
-    def __init__(self, signs: dict[str, int], crf: Crf, scale: np.ndarray):
-        self.signs, self.crf, self.scale = signs, crf, scale
-
-    def features(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """What the documents' scores are made of, and the marginals. Without signs nothing is toxic, and no chain is run."""
-        out, p = np.zeros((len(seqs), 3)), [np.zeros(len(s)) for s in seqs]
-        marked = [i for i, s in enumerate(seqs) if s.any()]
-        # side by side, so many tokens at a time
-        marked.sort(key=lambda i: len(seqs[i]))
+    """weight: of each feature, the first for every token; words not seen yet get theirs from their features."""
+
+    def __init__(self):
+        self.names: dict[str, int] = {}
+        self.leaning: dict[str, int] = {}
+        self.weight = np.array([-30.0])
+        self.chain = Chain()
+        self.scale = np.array([-30.0, 0.0, 0.0, 0.0])
+        self.memo: dict[str, int] = {}
+        self.table = np.zeros((0, 3))
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}, "table": np.zeros((0, 3))}
+
+    def ids(self, word: str) -> tuple[list[int], int, int]:
+        own, after, before = features(word)
+        get = self.names.get
+        return [*[get(f, 0) for f in own], get(f"l{self.leaning.get(word)}", 0)], get(after, 0), get(before, 0)
+
+    def emission(self, words: list[str]) -> np.ndarray:
+        """The log weight of the toxic state at each word."""
+        memo, w = self.memo, self.weight
+        new = set(words).difference(memo)
+        if len(memo) + len(new) > len(self.table):
+            memo.clear()
+            new = set(words)
+            self.table = np.zeros((max(REMEMBERED, len(new)), 3))
+        for word in new:
+            own, after, before = self.ids(word)
+            self.table[len(memo)] = sum(w[i] for i in own if i), w[after] if after else 0, w[before] if before else 0
+            memo[word] = len(memo)
+        e = self.table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
+        out = w[0] + e[:, 0]
+        out[1:] += e[:-1, 1]
+        out[:-1] += e[1:, 2]
+        return out
+
+    def judged(self, texts: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What the documents' scores are made of, and the marginals."""
+        out, p = np.zeros((len(texts), 3)), [np.zeros(0)] * len(texts)
+        out[:, 0] = -12.0
+        order = sorted((i for i, w in enumerate(texts) if w), key=lambda i: len(texts[i]))
         a = 0
-        while a < len(marked):
+        while a < len(order):
             b = a + 1
-            while b < len(marked) and len(seqs[marked[b]]) * (b + 1 - a) <= 200_000:
+            while b < len(order) and len(texts[order[b]]) * (b + 1 - a) <= SIDE_BY_SIDE:
                 b += 1
-            for i, m in zip(marked[a:b], self.crf.marginals([seqs[i] for i in marked[a:b]])[0]):
+            marginals, log_p0 = self.chain.run([self.emission(texts[i]) for i in order[a:b]])
+            for i, m, q in zip(order[a:b], marginals, log_p0):
                 p[i] = m
-                out[i] = m.max(), min(m.sum(), 8.0), np.log1p(1000 * m.sum() / len(m))
+                out[i] = np.clip(np.log(np.maximum(-np.expm1(q), 1e-12)) - q, -12, 12), m.max(), min(m.sum(), 8.0)
             a = b
         return out, p
 
-    def codes(self, words: list[str]) -> np.ndarray:
-        get = self.signs.get
-        return np.fromiter([get(w, 0) for w in words], dtype=np.int64, count=len(words))
-
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        x, p = self.features([self.codes(tokens(t)) for t in texts])
+        x, p = self.judged([tokens(t) for t in texts])
         spans = []
         for t, m in zip(texts, p):
             run: list[tuple[int, int]] = []
             if m.size and m.max() >= 0.5:
-                low, before = t.lower(), False
-                low = low if len(low) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
-                for hit, v in zip(WORD.finditer(low), m):
+                before = False
+                for hit, v in zip(WORD.finditer(t), m):
                     if v >= 0.5:
                         run[-1:] = [(run[-1][0], hit.end())] if before else [*run[-1:], (hit.start(), hit.end())]
                     before = v >= 0.5
             spans.append(run)
-        return 1 / (1 + np.exp(-(x @ self.scale[1:] + self.scale[0]))), spans
+        return 1 / (1 + np.exp(-np.clip(x @ self.scale[1:] + self.scale[0], -30, 30))), spans
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -154,33 +184,102 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
+class Sample:
+    """Sample texts as places of a vocabulary, and the gradient of the chain's likelihood."""
+
+    def __init__(self, texts: list[list[str]], ys: list[int], model: Model):
+        vocabulary: dict[str, int] = {}
+        self.seqs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t]) for t in texts]
+        self.y = np.array(ys)
+        # Near copies repeat their words in the same surroundings, so a feature's different contexts are counted.
+        bound = [np.concatenate([[-1], s, [-1]]) for s in self.seqs]
+        contexts = np.unique(np.concatenate([np.stack([b[:-2], b[1:-1], b[2:], np.full(len(b) - 2, y)], axis=1) for b, y in zip(bound, ys)]), axis=0)
+        every, toxic = (np.bincount(c[:, 1], minlength=len(vocabulary)) for c in (contexts, contexts[contexts[:, 3] == 1]))
+        share = toxic.sum() / max(1, every.sum())
+        # By chance a word of c contexts would have c * share in toxic documents, give or take the square root.
+        surplus = (toxic - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 0.25))
+        model.leaning = {w: SURPLUS[k - 1] for w, k, n in zip(vocabulary, np.searchsorted(SURPLUS, surplus, side="right").tolist(), toxic.tolist()) if k and n >= LEAST_CONTEXTS}
+        seen: dict[str, int] = {f"l{x}": LEAST_CONTEXTS for x in SURPLUS}
+        for word, n in zip(vocabulary, every.tolist()):
+            own, after, before = features(word)
+            for f in (*own, after, before):
+                seen[f] = seen.get(f, 0) + n
+        for f in sorted(f for f, n in seen.items() if n >= LEAST_CONTEXTS):
+            model.names[f] = len(model.names) + 1
+        model.weight = np.zeros(len(model.names) + 1)
+        ids = [model.ids(w) for w in vocabulary]
+        self.own, self.after, self.before = np.array([i[0] for i in ids]), np.array([i[1] for i in ids]), np.array([i[2] for i in ids])
+        self.model, self.flat = model, np.concatenate(self.seqs)
+        ends = np.cumsum(list(map(len, self.seqs)))
+        self.cuts = ends[:-1]
+        self.first, self.last = np.zeros(len(self.flat), bool), np.zeros(len(self.flat), bool)
+        self.first[np.concatenate([[0], ends[:-1]])], self.last[ends - 1] = True, True
+
+    def emissions(self) -> list[np.ndarray]:
+        w = self.model.weight.copy()
+        bias, w[0] = w[0], 0.0
+        own, flat = w[self.own].sum(axis=1), self.flat
+        out = bias + own[flat]
+        out[1:] += np.where(self.first[1:], 0, w[self.after][flat[:-1]])
+        out[:-1] += np.where(self.last[:-1], 0, w[self.before][flat[1:]])
+        return np.split(out, self.cuts)
+
+    def likelihood(self) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """The log likelihood, and its gradient by weight, arc and start."""
+        p, log_p0, steps = self.model.chain.run(self.emissions(), steps=True)
+        p0 = np.exp(log_p0)
+        chance = np.where(self.y == 1, NOISE + (1 - 2 * NOISE) * -np.expm1(log_p0), NOISE + (1 - 2 * NOISE) * p0)
+        # The clean path has no features, so d P0 = - P0 E[f].
+        share = (1 - 2 * NOISE) * p0 / chance * np.where(self.y == 1, 1, -1)
+        g = np.concatenate(p) * np.repeat(share, list(map(len, p)))
+        per = lambda v, w: np.bincount(v, weights=w, minlength=len(self.own))
+        n = len(self.model.weight)
+        by_word = per(self.flat, g)
+        out = sum(np.bincount(self.own[:, k], weights=by_word, minlength=n) for k in range(self.own.shape[1]))
+        out = out + np.bincount(self.after, weights=per(self.flat[:-1], np.where(self.first[1:], 0, g[1:])), minlength=n)
+        out = out + np.bincount(self.before, weights=per(self.flat[1:], np.where(self.last[:-1], 0, g[:-1])), minlength=n)
+        out[0] = g.sum()
+        return float(np.log(chance).sum()), out, share @ steps, float(sum(x[0] * s for x, s in zip(p, share)))
+
+
 def fit(texts: list[str], ys: list[int]) -> Model:
-    words = [tokens(t) for t in texts]
-    y = np.array(ys)
-    none = Model({}, Crf(1), np.array([-30.0, 0, 0, 0]))
+    model, one = Model(), {}
+    for t, y in zip(texts, ys):
+        one.setdefault(t, y)
+    words = [tokens(t) for t in one]
+    y = np.array(list(one.values()))
     if not len(y) or y.min() == y.max():
-        return none
-    contexts: tuple[set, set] = (set(), set())
-    for w, label in zip(words, ys):
-        contexts[label].update(zip(["", *w], w, [*w[1:], ""]))
-    clean, toxic = (Counter(w for _, w, _ in c) for c in contexts)
-    n0, n1 = (max(1, len(c)) for c in contexts)
-    share = n1 / (n0 + n1)
-    ratio = lambda w: (toxic[w] / n1) / ((clean[w] + 0.5) / n0)
-    # by chance a word of c contexts would have c * share in toxic documents, give or take the square root
-    sure = lambda w: toxic[w] - (toxic[w] + clean[w]) * share >= 4 * np.sqrt((toxic[w] + clean[w]) * share * (1 - share))
-    signs = {w: i + 1 for i, w in enumerate(sorted(w for w, c in toxic.items() if c >= LEAST_CONTEXTS and ratio(w) >= LEAST_RATIO and sure(w)))}
-    if not signs:
-        return none
-    crf = Crf(len(signs) + 1)
-    model = Model(signs, crf, np.zeros(4))
-    seqs = [model.codes(w) for w in words]
-    used = [i for i in range(len(seqs)) if 0 < len(seqs[i]) <= FIT_TOKENS][:FIT_DOCS]
-    crf.fit([seqs[i] for i in used], [((seqs[i] > 0) & bool(ys[i])).astype(np.int64) for i in used])
-    model.scale = logistic(model.features(seqs)[0], y)
+        return model
+    ascend(model, words, y)
+    model.scale = logistic(model.judged(words)[0], y)
     return model
 
 
+def ascend(model: Model, words: list[list[str]], y: np.ndarray) -> None:
+    """Fit the model's features, weights and chain."""
+    used, total = [], 0
+    for i, w in enumerate(words):
+        if 0 < len(w) <= FIT_TOKENS and total + len(w) <= FIT_TOTAL:
+            used.append(i)
+            total += len(w)
+    if not used or len(set(y[used].tolist())) < 2:
+        return
+    sample = Sample([words[i] for i in used], y[used].tolist(), model)
+    model.weight[0] = -5.0
+    pull = np.array([0.0, *(SHRINK if f[0] in "wl" else SHRINK_SHARED for f in model.names)])
+    size = len(model.weight) + 4
+    m, v = np.zeros(size), np.zeros(size)
+    for step in range(1, ROUNDS + 1):
+        _, g, arc, start = sample.likelihood()
+        g -= pull * model.weight
+        g = np.concatenate([g, arc, [start]])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 0.1)
+        model.weight += move[: len(model.weight)]
+        model.chain.arc = np.clip(model.chain.arc + move[-4:-1], -6, 6)
+        model.chain.start = float(np.clip(model.chain.start + move[-1], -6, 6))
+
+
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (double, 0 to 1) and toxic_spans (array of start and end, code points)."""
     import pyarrow as pa
