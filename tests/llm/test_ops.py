@@ -31,7 +31,7 @@ def test_bpe_is_tiktoken(spark, odd, none):
     marks = [chr(c) for c in (0x558, 0x58B, 0xDD, 0x1F600, 0x11DE0, 0x661, 0xBD, 0x3000, 0x85, 0x212A)] + list(" \n\t'sldtxZ9é漢ñ.!#") + ["'ll", "  "]
     texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["a" * 3000, "x" * 64, "x" * 65]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
-    for r in bpe.decode(bpe.encode(df)).collect():
+    for r in [*bpe.decode(bpe.encode(df)).collect(), *bpe.round_trip(df).collect()]:
         assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode() and r.n_tokens == len(r.ids) // 4
     assert bpe.encode(odd).columns.count("n_tokens") == 1
@@ -311,7 +311,7 @@ def test_classifiers_hold_out():
     assert len(net.forward([b"", b"x" * 5000])[0]) == 2
 
 
-def test_chain_by_enumeration():
+def test_chain_by_enumeration(monkeypatch):
     """Marginals, expected steps and P0 of short chains beside all their paths, and the gradient beside differences."""
     from itertools import product
 
@@ -319,8 +319,9 @@ def test_chain_by_enumeration():
     chain = toxicity.Chain()
     chain.arc, chain.start = rng.normal(size=3), 0.4
     emits = [rng.normal(size=n) for n in (1, 5, 3, 7)]
-    p, log_p0, steps = chain.run(emits, steps=True)
-    for e, q, l, st in zip(emits, p, log_p0, steps):
+    lens = np.array(list(map(len, emits)))
+    p, log_p0, steps = chain.run(np.concatenate(emits), lens, steps=True)
+    for e, q, l, st in zip(emits, np.split(p, np.cumsum(lens)[:-1]), log_p0, steps):
         paths = {z: np.exp(chain.start * z[0] + sum(x * y for x, y in zip(e, z)) + sum((chain.arc[0], chain.arc[1], chain.arc[2])[{(0, 1): 0, (1, 0): 1, (1, 1): 2}[ab]] if ab != (0, 0) else 0 for ab in zip(z, z[1:]))) for z in product((0, 1), repeat=len(e))}
         total = sum(paths.values())
         assert np.allclose(q, [sum(w for z, w in paths.items() if z[i]) / total for i in range(len(e))])
@@ -344,7 +345,10 @@ def test_chain_by_enumeration():
         model.chain.arc[i] -= 2e-5
         assert np.isclose((up - sample.likelihood()[0]) / 2e-5, arc[i], atol=1e-4)
         model.chain.arc[i] += 1e-5
-    assert all(np.allclose(a, model.emission(t)) for a, t in zip(sample.emissions(), texts))
+    assert np.allclose(sample.emissions(), model.emission(texts))
+    model.memo, model.table = {}, np.zeros((0, 3))
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)  # words beyond it are worked out each time
+    assert np.allclose(sample.emissions(), model.emission(texts)) and len(model.memo) == 3
 
 
 def test_toxicity_is_no_word_list():

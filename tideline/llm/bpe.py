@@ -30,7 +30,7 @@ NONE = np.int32(2**31 - 1)
 #: Pre-tokens up to so many bytes are merged in numpy rows.
 WIDEST = 64
 #: Pre-tokens and bytes (of texts and ids, and 200 an entry) that a worker remembers; the memory is emptied when it is full.
-MEMO, MEMO_BYTES = 100_000, 32_000_000
+MEMO, MEMO_BYTES = 80_000, 24_000_000
 #: Code points whose classes are asked for, and ids that are decoded, at a time.
 ASKED, DECODED = 0x4000, 1_000_000
 #: Characters of text that are split at a time.
@@ -367,6 +367,23 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFr
     return common.add_columns(df, made, "ids binary, n_tokens bigint")
 
 
+def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """df with ids, n_tokens and decoded: encode() and decode() of the ids in one pass, with one worker for each task."""
+    import pyarrow as pa
+
+    path = path or default_path()
+
+    def made(batch):
+        out, back = [], []
+        for texts in common.text_slices(batch.column(batch.schema.get_field_index(text))):
+            some = list(encoder(path).encode(texts))
+            out += some
+            back += map(decoder(path), some)
+        return [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(back, pa.binary())]
+
+    return common.add_columns(df, made, "ids binary, n_tokens bigint, decoded binary")
+
+
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with decoded (binary): the bytes of the packed ids; null ids decode to no bytes."""
     import pyarrow as pa
@@ -382,5 +399,5 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs).drop("text"))
+    done = round_trip(docs)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

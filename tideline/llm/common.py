@@ -93,7 +93,7 @@ def texts_of(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def text_slices(column, size: int = 1_000_000):
+def text_slices(column, size: int = 500_000):
     """The strings of an Arrow column in lists of about size bytes at most (one string at least), so a batch isn't held twice as Python's strings."""
     import numpy as np
     import pyarrow.compute as pc
@@ -123,6 +123,22 @@ def packed(df: DataFrame, *apart: str) -> tuple[DataFrame, list[Column]]:
     return df.select(inner.alias("row"), *[F.col(c) for c in apart]), back
 
 
+def trimmed(run):
+    """run (a function of an iterator of batches) for mapInArrow; what a task has freed goes back to the system at its end, since idle workers live on."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # not the C library that has it
+
+    return wrapped
+
+
 def add_columns(df: DataFrame, fn, schema: str) -> DataFrame:
     """df with the columns that fn(RecordBatch) -> list of Arrow arrays makes; columns of the same names, in either case, are replaced."""
     import pyarrow as pa
@@ -141,4 +157,4 @@ def add_columns(df: DataFrame, fn, schema: str) -> DataFrame:
             made = fn(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], *made], names=[f.name for f in kept] + names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(trimmed(run), out)

@@ -24,6 +24,7 @@ replaced); an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,19 +42,23 @@ SURPLUS = (2, 4, 8)
 FIT_TOKENS, FIT_TOTAL = 1500, 400_000
 #: Chance that a document's label is wrong; steps of the ascent, their size and the pull to 0, of words themselves and of features that words share.
 NOISE, ROUNDS, RATE, SHRINK, SHRINK_SHARED = 0.03, 40, 0.25, 0.01, 0.1
-#: Words whose weights a worker remembers, and tokens whose chains run side by side.
-REMEMBERED, SIDE_BY_SIDE = 200_000, 200_000
+#: Words whose weights a worker remembers, and tokens of texts whose chains are worked out together.
+REMEMBERED, TOGETHER = 100_000, 200_000
 
 
 def tokens(text: str) -> list[str]:
     return WORD.findall(text)
 
 
+def shape_of(word: str) -> str:
+    kind = "a" if word.islower() else "9" if word.isdigit() else "A" if word.isupper() else "Aa" if word[:1].isupper() else "x"
+    return f"{kind}{min(len(word), 9)}"
+
+
 def features(word: str) -> tuple[list[str], str, str]:
     """A word's features for its own place, for the place after it and for the place before it."""
     low = word.lower()
-    shape = "9" if word.isdigit() else "A" if word.isupper() else "Aa" if word[:1].isupper() else "a" if word.islower() else "x"
-    return ["w" + low, "p" + low[:3], "s" + low[-3:], f"f{shape}{min(len(word), 9)}"], "b" + low, "a" + low
+    return ["w" + low, "p" + low[:3], "s" + low[-3:], "f" + shape_of(word)], "b" + low, "a" + low
 
 
 class Chain:
@@ -62,46 +67,52 @@ class Chain:
     def __init__(self):
         self.arc, self.start = np.array([0.0, 0.0, 0.0]), 0.0
 
-    def run(self, emits: list[np.ndarray], steps: bool = False):
-        """P(toxic) of each token, log P0 of each text and, if asked for, the expected steps of each text. Texts run side by side, long ones first."""
-        order = sorted(range(len(emits)), key=lambda i: -len(emits[i]))
-        n, longest = len(emits), len(emits[order[0]])
-        lens = np.array([len(emits[i]) for i in order])
-        emit = np.zeros((longest, n))
-        for col, i in enumerate(order):
-            emit[: len(emits[i]), col] = emits[i]
-        active = np.searchsorted(-lens, -np.arange(longest), side="left")
+    def messages(self, emit: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of toxic at each token: by the past and the token itself, and by the future.
+
+        Each odds follow from those of the token before (after). All tokens are worked
+        out at once from a guess, and again as long as what they follow from has
+        changed; that dies away fast, since a step of the chain forgets."""
+        a01, a10, a11 = np.exp(self.arc)
+        odds = np.clip(np.where(first, self.start, np.log(a01)) + emit, -40, 40)
+        todo = np.flatnonzero(~first)
+        while len(todo):
+            e = np.exp(odds[todo - 1])
+            new = np.clip(np.log((a01 + a11 * e) / (1 + a10 * e)) + emit[todo], -40, 40)
+            moved = todo[np.abs(new - odds[todo]) > 1e-10]
+            odds[todo] = new
+            todo = moved[~last[moved]] + 1
+        ahead = np.where(last, 0.0, np.log(a10))
+        todo = np.flatnonzero(~last)
+        while len(todo):
+            e = np.exp(np.clip(ahead[todo + 1] + emit[todo + 1], -40, 40))
+            new = np.log((a10 + a11 * e) / (1 + a01 * e))
+            moved = todo[np.abs(new - ahead[todo]) > 1e-10]
+            ahead[todo] = new
+            todo = moved[~first[moved]] - 1
+        return odds, ahead
+
+    def run(self, emit: np.ndarray, lens: np.ndarray, steps: bool = False):
+        """P(toxic) of each token and log P0 of each text; if asked for, the expected steps of each text. emit: of all texts on end, of lens tokens each (one or more)."""
+        starts = np.cumsum(lens) - lens
+        first, last = np.zeros(len(emit), bool), np.zeros(len(emit), bool)
+        first[starts], last[starts + lens - 1] = True, True
+        odds, ahead = self.messages(emit, first, last)
         a01, a10, a11 = np.exp(self.arc)
-        odds, ahead, log_clean = np.zeros((longest, n)), np.zeros((longest, n)), np.zeros(n)  # log odds of toxic: by the past and the token, by the future
-        for t in range(longest):
-            m = active[t]
-            if t == 0:
-                odds[0] = np.clip(self.start + emit[0], -40, 40)
-                continue
-            e = np.exp(odds[t - 1, :m])
-            keep = 1 + a10 * e
-            log_clean[:m] += np.log(keep)
-            odds[t, :m] = np.clip(np.log((a01 + a11 * e) / keep) + emit[t, :m], -40, 40)
-        for t in range(longest - 2, -1, -1):
-            m = active[t + 1]
-            e = np.exp(np.clip(ahead[t + 1, :m] + emit[t + 1, :m], -40, 40))
-            ahead[t, :m] = np.log((a10 + a11 * e) / (1 + a01 * e))
+        f = np.exp(odds)
+        grown = np.log1p(np.where(last, f, a10 * f))
+        log_p0 = -np.add.reduceat(grown, starts)
         p = 1 / (1 + np.exp(-(odds + ahead)))
-        log_p0 = -(log_clean + np.log1p(np.exp(odds[lens - 1, np.arange(n)])))
-        out, back = [np.empty(0)] * n, np.empty(n)
-        for col, i in enumerate(order):
-            out[i], back[i] = p[: lens[col], col], log_p0[col]
         if not steps:
-            return out, back
-        expected = np.zeros((n, 3))
-        if longest > 1:
-            f, g = np.exp(odds[:-1]), np.exp(np.clip(ahead[1:] + emit[1:], -40, 40))
+            return p, log_p0
+        expected = np.zeros((len(lens), 3))
+        if len(emit) > 1:
+            f, g = f[:-1], np.exp(np.clip(ahead[1:] + emit[1:], -40, 40))
             joint = [a01 * g, a10 * f, a11 * f * g]
             total = 1 + joint[0] + joint[1] + joint[2]
-            inside = np.arange(1, longest)[:, None] < lens[None, :]
             for k, j in enumerate(joint):
-                expected[order, k] = np.where(inside, j / total, 0).sum(axis=0)
-        return out, back, expected
+                expected[:, k] = np.add.reduceat(np.append(np.where(last[:-1], 0, j / total), 0.0), starts)
+        return p, log_p0, expected
 
 
 class Model:
@@ -115,47 +126,73 @@ class Model:
         self.scale = np.array([-30.0, 0.0, 0.0, 0.0])
         self.memo: dict[str, int] = {}
         self.table = np.zeros((0, 3))
+        self.by_kind: dict[str, dict] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "table": np.zeros((0, 3))}
+        return self.__dict__ | {"memo": {}, "table": np.zeros((0, 3)), "by_kind": {}}
 
     def ids(self, word: str) -> tuple[list[int], int, int]:
         own, after, before = features(word)
         get = self.names.get
         return [*[get(f, 0) for f in own], get(f"l{self.leaning.get(word)}", 0)], get(after, 0), get(before, 0)
 
-    def emission(self, words: list[str]) -> np.ndarray:
-        """The log weight of the toxic state at each word."""
-        memo, w = self.memo, self.weight
-        new = set(words).difference(memo)
-        if len(memo) + len(new) > len(self.table):
-            memo.clear()
-            new = set(words)
-            self.table = np.zeros((max(REMEMBERED, len(new)), 3))
-        for word in new:
-            own, after, before = self.ids(word)
-            self.table[len(memo)] = sum(w[i] for i in own if i), w[after] if after else 0, w[before] if before else 0
-            memo[word] = len(memo)
-        e = self.table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
-        out = w[0] + e[:, 0]
-        out[1:] += e[:-1, 1]
-        out[:-1] += e[1:, 2]
+    def weights(self) -> dict[str, dict]:
+        """The weights by kind of feature, for quick looks."""
+        if not self.by_kind:
+            self.by_kind = {k: {} for k in "wpsfbal"}
+            for f, i in self.names.items():
+                self.by_kind[f[0]][f[1:]] = float(self.weight[i])
+            self.by_kind["l"] = {w: self.by_kind["l"].get(str(x), 0.0) for w, x in self.leaning.items()}
+        return self.by_kind
+
+    def rows(self, words) -> list[tuple[float, float, float]]:
+        """The weights of words at their own place, after it and before it."""
+        own, first, last, shape, after, before, leaning = (self.weights()[k].get for k in "wpsfbal")
+        out = []
+        for word in words:
+            low = word.lower()
+            out.append((own(low, 0.0) + first(low[:3], 0.0) + last(low[-3:], 0.0) + shape(shape_of(word), 0.0) + leaning(word, 0.0), after(low, 0.0), before(low, 0.0)))
+        return out
+
+    def emission(self, texts: list[list[str]]) -> np.ndarray:
+        """The log weight of the toxic state at each word of texts, one behind the other. The first REMEMBERED words that come are remembered."""
+        memo, lens = self.memo, np.array(list(map(len, texts)))
+        new = set(chain.from_iterable(texts)).difference(memo)
+        if new and len(memo) < REMEMBERED:
+            keep = list(islice(new, REMEMBERED - len(memo)))
+            self.table = np.concatenate([self.table, self.rows(keep)])
+            memo.update(zip(keep, range(len(memo), len(memo) + len(keep))))
+            new.difference_update(keep)
+        rare = list(new)
+        extra = dict(zip(rare, range(len(memo), len(memo) + len(rare))))
+        table = np.concatenate([self.table, self.rows(rare)]) if rare else self.table
+        get, other = memo.get, extra.get
+        e = table[np.fromiter((get(w) if w in memo else other(w) for w in chain.from_iterable(texts)) if rare else map(get, chain.from_iterable(texts)), np.int64, lens.sum())]
+        out, inside = self.weight[0] + e[:, 0], np.ones(len(e), bool)
+        inside[np.cumsum(lens) - lens] = False
+        out[1:] += np.where(inside[1:], e[:-1, 1], 0)
+        out[:-1] += np.where(inside[1:], e[1:, 2], 0)
         return out
 
     def judged(self, texts: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """What the documents' scores are made of, and the marginals."""
         out, p = np.zeros((len(texts), 3)), [np.zeros(0)] * len(texts)
         out[:, 0] = -12.0
-        order = sorted((i for i, w in enumerate(texts) if w), key=lambda i: len(texts[i]))
+        full = [i for i, w in enumerate(texts) if w]
         a = 0
-        while a < len(order):
-            b = a + 1
-            while b < len(order) and len(texts[order[b]]) * (b + 1 - a) <= SIDE_BY_SIDE:
+        while a < len(full):
+            b, held = a, 0
+            while b < len(full) and (b == a or held + len(texts[full[b]]) <= TOGETHER):
+                held += len(texts[full[b]])
                 b += 1
-            marginals, log_p0 = self.chain.run([self.emission(texts[i]) for i in order[a:b]])
-            for i, m, q in zip(order[a:b], marginals, log_p0):
-                p[i] = m
-                out[i] = np.clip(np.log(np.maximum(-np.expm1(q), 1e-12)) - q, -12, 12), m.max(), min(m.sum(), 8.0)
+            at = full[a:b]
+            lens = np.array([len(texts[i]) for i in at])
+            m, q = self.chain.run(self.emission([texts[i] for i in at]), lens)
+            starts = np.cumsum(lens) - lens
+            out[at, 0] = np.clip(np.log(np.maximum(-np.expm1(q), 1e-12)) - q, -12, 12)
+            out[at, 1], out[at, 2] = np.maximum.reduceat(m, starts), np.minimum(np.add.reduceat(m, starts), 8.0)
+            for i, part in zip(at, np.split(m, starts[1:])):
+                p[i] = part
             a = b
         return out, p
 
@@ -210,28 +247,28 @@ class Sample:
         ids = [model.ids(w) for w in vocabulary]
         self.own, self.after, self.before = np.array([i[0] for i in ids]), np.array([i[1] for i in ids]), np.array([i[2] for i in ids])
         self.model, self.flat = model, np.concatenate(self.seqs)
-        ends = np.cumsum(list(map(len, self.seqs)))
-        self.cuts = ends[:-1]
+        self.lens = np.array(list(map(len, self.seqs)))
+        ends = np.cumsum(self.lens)
         self.first, self.last = np.zeros(len(self.flat), bool), np.zeros(len(self.flat), bool)
         self.first[np.concatenate([[0], ends[:-1]])], self.last[ends - 1] = True, True
 
-    def emissions(self) -> list[np.ndarray]:
+    def emissions(self) -> np.ndarray:
         w = self.model.weight.copy()
         bias, w[0] = w[0], 0.0
         own, flat = w[self.own].sum(axis=1), self.flat
         out = bias + own[flat]
         out[1:] += np.where(self.first[1:], 0, w[self.after][flat[:-1]])
         out[:-1] += np.where(self.last[:-1], 0, w[self.before][flat[1:]])
-        return np.split(out, self.cuts)
+        return out
 
     def likelihood(self) -> tuple[float, np.ndarray, np.ndarray, float]:
         """The log likelihood, and its gradient by weight, arc and start."""
-        p, log_p0, steps = self.model.chain.run(self.emissions(), steps=True)
+        p, log_p0, steps = self.model.chain.run(self.emissions(), self.lens, steps=True)
         p0 = np.exp(log_p0)
         chance = np.where(self.y == 1, NOISE + (1 - 2 * NOISE) * -np.expm1(log_p0), NOISE + (1 - 2 * NOISE) * p0)
         # The clean path has no features, so d P0 = - P0 E[f].
         share = (1 - 2 * NOISE) * p0 / chance * np.where(self.y == 1, 1, -1)
-        g = np.concatenate(p) * np.repeat(share, list(map(len, p)))
+        g = p * np.repeat(share, self.lens)
         per = lambda v, w: np.bincount(v, weights=w, minlength=len(self.own))
         n = len(self.model.weight)
         by_word = per(self.flat, g)
@@ -239,7 +276,7 @@ class Sample:
         out = out + np.bincount(self.after, weights=per(self.flat[:-1], np.where(self.first[1:], 0, g[1:])), minlength=n)
         out = out + np.bincount(self.before, weights=per(self.flat[1:], np.where(self.last[:-1], 0, g[:-1])), minlength=n)
         out[0] = g.sum()
-        return float(np.log(chance).sum()), out, share @ steps, float(sum(x[0] * s for x, s in zip(p, share)))
+        return float(np.log(chance).sum()), out, share @ steps, float(g[self.first].sum())
 
 
 def fit(texts: list[str], ys: list[int]) -> Model:
