@@ -141,6 +141,14 @@ def test_embeddings(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_embeddings_at_the_threshold(spark):
+    """A cosine a hair under 0.93 makes neither a link nor a component; one a hair over makes both."""
+    turn = lambda c: [c, float(np.sqrt(1 - c * c)), 0.0]
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, turn(0.93 - 1e-10), 0), (3, [1.0, 0.0, 0.0], 1), (4, turn(0.93 + 1e-10), 1), (5, turn(0.93 - 5e-10), 2), (6, [1.0, 0.0, 0.0], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)}
+
+
 def test_embeddings_of_saturated_lists(spark):
     """Tight subgroups fill the lists; links between the subgroups still count."""
     rng, d = np.random.default_rng(2), 64

@@ -13,7 +13,7 @@ folded first. Then:
    its vector is compared with all vectors of other components of its label that
    the triangle inequality on angles doesn't rule out, so all of its links count.
    Within components all vectors are compared in blocks of BLOCK by BLOCK, which
-   gives the numbers of links.
+   gives the numbers of links, and the components of the links that are exact.
 4. Recall is audited: AUDIT vectors (those of the smallest hash of their id) are
    compared with all vectors. If fewer than RECALL of those with links have all of
    them in their component, lists and tables are doubled and the descent is run
@@ -174,8 +174,23 @@ def _descend(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return around.repartition("w").sortWithinPartitions("w").select("w", "id", "fresh", "worst", "x").mapInArrow(run, "u bigint, v bigint, sim double")
 
 
-def _exact(vectors: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
-    """id and links: how many vectors (with their multiplicity) of its component are linked with each."""
+def _forest(hit: np.ndarray) -> np.ndarray:
+    """For each place the first one that it reaches by steps of hit (a symmetric matrix)."""
+    root, open_ = np.arange(len(hit)), hit.any(axis=1)
+    for i in np.flatnonzero(open_).tolist():
+        if not open_[i]:
+            continue
+        front = np.array([i])
+        open_[i] = False
+        while len(front):
+            root[front] = i
+            front = np.flatnonzero(hit[front].any(axis=0) & open_)
+            open_[front] = False
+    return root
+
+
+def _exact(vectors: DataFrame, member: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of vectors compared within their component, exactly: id and links (how many, with their multiplicity, are linked with it), and links (a, b) that connect what is linked."""
     import pyarrow as pa
 
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("m")).select("component", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
@@ -186,18 +201,19 @@ def _exact(vectors: DataFrame, member: DataFrame, threshold: float) -> DataFrame
     def run(batches):
         for _, t in _runs(batches, ["block"]):
             ids, many, b, x = np.asarray(t.column("id")), np.asarray(t.column("many")), np.asarray(t.column("b")), _unit(_stack(t.column("x")))
-            inside = b.min() == b.max()
-            total = np.zeros(len(ids), np.int64)
+            inside, hit = b.min() == b.max(), np.zeros((len(ids), len(ids)), bool)
             for a in range(0, len(ids), 256):
-                hit = x[a : a + 256] @ x.T >= threshold
-                hit[np.arange(len(hit)), np.arange(a, a + len(hit))] = False
-                if not inside:
-                    hit &= b[a : a + 256, None] != b[None, :]
-                total[a : a + 256] = hit @ many
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "links"])
+                hit[a : a + 256] = x[a : a + 256] @ x.T >= threshold
+            hit |= hit.T  # the product's rounding may differ between the two halves
+            np.fill_diagonal(hit, False)
+            root = _forest(hit)
+            if not inside:
+                hit &= b[:, None] != b[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit @ many), pa.array(ids[root])], names=["id", "links", "root"])
 
-    found = dealt.select("block", "id", "x", "many", "b").repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "id bigint, links bigint")
-    return found.groupBy("id").agg(F.sum("links").alias("links"))
+    found = dealt.select("block", "id", "x", "many", "b").repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "id bigint, links bigint, root bigint")
+    found = common.materialize(found, "exact")
+    return found.groupBy("id").agg(F.sum("links").alias("links")), found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
 def _reached(centres: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -336,7 +352,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tables:
             recall = 1.0
             break
         tables, k = 2 * tables, 2 * k
-    exact = _exact(folded, member, threshold)
+    # Up to here a little under the threshold was let pass; the components are those of the exact links.
+    exact, links = _exact(folded, member, threshold)
+    member = common.materialize(components(links), "members")
     node = folded.join(member.withColumnRenamed("node", "id"), "id", "left").join(exact, "id", "left").select("g", "x", "many", "id", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.join(node, common.same(rows["g"], node["g"]) & (rows["x"] == node["x"]), "left")
     component = F.coalesce(F.col("component"), F.col("vec_id")).cast("bigint")
