@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import bpe, byte_cnn, decontaminate, edit_counts, jaccard, licenses, line_dedup, nn_descent, secrets, toxicity
 
@@ -282,6 +283,21 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.remove_repeated(none).count() == 0
 
 
+def test_line_dedup_counts_words(spark):
+    """Blanks are no words: a line of blanks is no passage; of first occurrences that tie, one stays; texts of one doc_id are rows of their own."""
+    texts = ["a b", "", " ", "   a   b\t c ", "a\nb", "a \n\n b", "x" * 48, " " * 45, "\u3000a"]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(line_dedup.words_in(F.col("t")).alias("n")).collect()]
+    assert got == [2, 0, 0, 3, 2, 2, 4, 0, 1]
+    blank = " " * 45
+    passage = "\n".join(" ".join(f"p{i}x{j}" for j in range(20)) for i in range(4))
+    rows = [(1, f"own line\n{blank}\nof one"), (2, f"another\n{blank}\nof two"), (3, f"{passage}\nthree"), (3, f"{passage}\nthree again"), (None, f"no id\n{passage}"), (4, f"{passage}\nthree"), (4, f"{passage}\nthree")]
+    out = line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone": F.lit(1), "_d": F.lit(2), "_r": F.lit(3), "N_Removed": F.lit("x")}))
+    left = sorted((str(r.doc_id), r.text) for r in out.collect())
+    assert [t for i, t in left if i in "12"] == [rows[0][1], rows[1][1]]
+    assert [t for _, t in left].count(passage) == 0 and sum(passage in t for _, t in left) == 1 and ("None", f"no id\n{passage}") in left
+    assert out.columns == ["doc_id", "text", "gone", "_d", "_r", "n_chunks", "n_removed"]
+
+
 def test_line_dedup_of_short_lines(spark):
     """Passages of over 50 words in short lines go whole, with or without blanks, whatever stands around them; single short lines stay."""
     rng, docs, want = random.Random(8), [], {}

@@ -41,9 +41,19 @@ PASSAGE, LEAST = 40, 8
 
 
 def words_in(text: Column) -> Column:
-    """Blanks and line feeds, and one: a measure of size that is cheap to take. Twelve bytes count as a word at least, for scripts without blanks."""
-    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    return F.greatest(count(" ") + count("\n") + 1, F.floor(F.octet_length(text) / 12).cast("int"))
+    """Words between blanks, tabs and line feeds. Twelve bytes count as a word at least, for scripts without blanks.
+
+    Where single blanks and line feeds part the words they are counted; other texts are brought to that form first.
+    """
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    parted = lambda c: count(c, " ") + count(c, "\n") + 1
+    odd = F.lit(False)
+    for part in ("  ", "\t", "\r", "\n\n", " \n", "\n "):
+        odd = odd | text.contains(part)
+    odd = odd | text.startswith(" ") | text.endswith(" ") | text.startswith("\n") | text.endswith("\n") | (text == "")
+    plain = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    words = F.when(odd, F.when(plain == "", 0).otherwise(parted(plain))).otherwise(parted(text))
+    return F.greatest(words, F.floor(F.octet_length(F.trim(text)) / 12).cast("int"))
 
 
 def layout(text: Column) -> Column:
