@@ -212,6 +212,8 @@ def test_licenses(spark, odd, none):
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (11, 2, 2, 6, ["cc-by-nc", "mit"])
     assert got[2].base_labels == ["apache-2"] and got[3].labels == ["gpl-3"] and got[3].n_base == 0
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(none).count() == 0
+    twice = licenses.scan_licenses(df.union(df).union(spark.createDataFrame([(1, "under the MIT license", "", ""), (1, None, "", "")], DOCS))).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_base) for r in twice) == [(1, 0, 0), (1, 4, 1), *[(1, 11, 2)] * 2, *[(2, 8, 1)] * 2, *[(3, 13, 0)] * 2]
 
 
 def test_licenses_verified_by_words(spark):
