@@ -258,7 +258,8 @@ class Merger:
 class Encoder:
     """Text to packed ids, remembering pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO, most_bytes: int = MEMO_BYTES):
+        self.most, self.most_bytes = most, most_bytes
         self.split = Splitter()
         self.merger = Merger(load_ranks(path))
         self.memo: dict[str, bytes] = {}
@@ -267,7 +268,7 @@ class Encoder:
     def learn(self, pieces) -> None:
         """Have the ids of all of pieces in the memo."""
         memo, ranks = self.memo, self.merger.ranks
-        if len(memo) > MEMO or self.held > MEMO_BYTES:
+        if len(memo) > self.most or self.held > self.most_bytes:
             memo.clear()
             self.held = 0
         rows: dict[int, list[tuple[str, bytes]]] = {}
@@ -312,14 +313,15 @@ class Encoder:
             yield b"".join(map(get, pieces))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = MEMO, most_bytes: int = MEMO_BYTES) -> Encoder:
     """This worker's encoder, kept for later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    name = (path, most, most_bytes)
+    if name not in _encoders:
+        _encoders[name] = Encoder(*name)
+    return _encoders[name]
 
 
 class Decoder:
