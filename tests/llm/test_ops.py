@@ -44,18 +44,46 @@ def test_edits_equal_a_new_count(spark, odd, none):
     rng = random.Random(4)
     for _ in range(400):
         cur = "".join(rng.choice(" \n'slt9é.!aB") for _ in range(rng.randint(0, 50)))
-        pieces = encoder.split(cur)
-        tree = edit_counts.Tree(pieces, [len(encoder.ids(p)) // 4 for p in pieces])
+        tree = edit_counts.Tree(cur, *next(edit_counts.leaves(encoder, [cur])))
         for _ in range(3):
             at, n, new = rng.randint(0, len(cur) + 2), rng.randint(0, 6), "".join(rng.choice(" 'lx9\n") for _ in range(rng.randint(0, 3)))
             tree.edit(at, n, new, encoder)
             at = min(at, len(cur))
             cur = cur[:at] + new + cur[at + n :]
-            assert tree.text() == cur and tree.n_tokens == sum(len(encoder.ids(p)) // 4 for p in encoder.split(cur))
+            pieces = encoder.split(cur)
+            assert tree.text() == cur and tree.n_tokens == sum(len(encoder.ids(p)) // 4 for p in pieces)
+            assert tree.packed() == edit_counts.pack(*next(edit_counts.leaves(encoder, [cur])))
+            if rng.random() < 0.5:  # stored and read again
+                tree = edit_counts.Tree(tree.text(), *edit_counts.unpack(tree.packed()))
     assert edit_counts.count_with_edits(edit_counts.sample_edits(odd)).count() == len(ODD)
     assert edit_counts.count_with_edits(edit_counts.sample_edits(none)).count() == 0
 
 
+def test_trees_are_kept_from_revision_to_revision(spark, odd, none):
+    encoder = bpe.encoder(bpe.default_path())
+    count = lambda t: sum(len(encoder.ids(p)) // 4 for p in encoder.split(t))
+    words = spark.createDataFrame([(10, "some words in a row, " * 300, "a", "x"), (11, "z" * 70_000, "a", "x"), (12, " \n" * 500, "a", "x")], DOCS)
+    trees = edit_counts.build_trees(odd.unionByName(words))
+    assert all(r.n_tokens == count(r.text or "") and edit_counts.unpack(r.tree)[0].sum() == len(r.text or "") for r in trees.collect())
+    for _ in range(2):
+        before = sorted((r.doc_id or 0, r.text or "") for r in trees.collect())
+        trees = edit_counts.update_trees(edit_counts.sample_edits(trees).withColumn("edits", F.when(F.col("doc_id") != 5, F.col("edits"))))
+        after = []
+        for i, t in before:
+            n = len(t)
+            for at, long, new in ((0, 0, "Revised: "), (n // 2, 5, "amended 2nd wording"), (max(n - 3, 0), 7, "")) if i not in (0, 5) else ():
+                at = min(at, len(t))
+                t = t[:at] + new + t[at + long :]
+            after.append((i, t))
+        rows = trees.collect()
+        assert sorted((r.doc_id or 0, r.text) for r in rows) == sorted(after)
+        for r in rows:
+            assert r.n_tokens == r.n_tokens_after == count(r.text) and r.n_chars_after == len(r.text)
+            assert bytes(r.tree) == edit_counts.pack(*next(edit_counts.leaves(encoder, [r.text])))
+            assert r.doc_id != 10 or r.n_reencoded < 40 < r.n_pretokens
+    assert edit_counts.update_trees(edit_counts.sample_edits(edit_counts.build_trees(none))).count() == 0
+
+
 def sets(rows, k):
     out = {}
     for i, t in rows:

@@ -47,11 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     # Spark removes the shuffle files behind the table when the JVM collects what refers to them; ask for that now.
     gc.collect()
     spark._jvm.System.gc()

@@ -1,17 +1,25 @@
 """Edit-aware token counts (operator 5).
 
 Every document keeps a segment tree over its pre-tokens; a node holds the
-characters and the tokens below it. An edit replaces a range of characters.
-Only the pre-tokens that it touches are encoded again, together with boundary
-context: splitting starts a few characters before the edit, and goes on until a
-new boundary falls on an old one behind the edit. From there the rest is the
-same, since a match depends on nothing before its start. Then the leaves in
+characters and the tokens below it. build_trees() makes a table of them, one
+pass over the texts; update_trees() reads that table and applies edits, each of
+which replaces a range of characters, and gives the edited texts and trees back,
+so the table can be kept from revision to revision. Stored are the leaves, two
+numbers a pre-token; the sums above them are additions when a tree is read, and
+no text is split or encoded for it.
+
+Only the pre-tokens that an edit touches are encoded again, together with
+boundary context: splitting starts a few characters before the edit, and goes on
+until a new boundary falls on an old one behind the edit. From there the rest is
+the same, since a match depends on nothing before its start. Then the leaves in
 between are replaced and the sums above them updated.
 
-Defined results: a null text counts as empty, null edits as none; an edit is
-clamped to the text as it stands; edits apply in the order of the array;
+Defined results: a null text counts as empty, null edits as none; a null tree is
+built anew, and a tree that doesn't have its text's length is an error; an edit
+is clamped to the text as it stands; edits apply in the order of the array;
 documents with one id are separate rows; extra columns pass through (those named
-like an output are replaced); an empty table gives an empty table.
+like an output are replaced, and outputs stand last); an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -27,55 +35,74 @@ LOOK = 4
 EDITS = "array<struct<start:bigint,length:bigint,replacement:string>>"
 
 
+def pack(chars: np.ndarray, tokens: np.ndarray) -> bytes:
+    """Leaves as bytes: the width of a number, then the characters and the tokens of every pre-token."""
+    most = max(int(chars.max(initial=0)), int(tokens.max(initial=0)))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + chars.astype(f"<u{width}").tobytes() + tokens.astype(f"<u{width}").tobytes()
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(packed, dtype=f"<u{packed[0]}", offset=1).astype(np.int64)
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
 class Tree:
     """Sums of characters and tokens over pre-tokens. A slot holds the pre-tokens that have taken the place of one old leaf."""
 
-    def __init__(self, pieces: list[str], counts: list[int]):
-        self.slots: list[list[str]] = [[p] for p in pieces]
-        n = max(1, len(pieces))
-        self.width = 1 << (n - 1).bit_length() if n > 1 else 1
-        self.chars, self.tokens = (self._sums(list(map(len, pieces))), self._sums(counts))
-        if not self.slots:
-            self.slots = [[]]
-
-    def _sums(self, leaves: list[int]) -> list[int]:
-        level = np.zeros(self.width, dtype=np.int64)
-        level[: len(leaves)] = leaves
-        levels = [level]
-        while len(level) > 1:
-            level = level[0::2] + level[1::2]
-            levels.append(level)
-        return [0, *np.concatenate(levels[::-1]).tolist()]
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray):
+        self.base, self.leaves = text, (chars, tokens)
+        self.ends = np.cumsum(chars)
+        if len(text) != (self.ends[-1] if len(chars) else 0):
+            raise ValueError("the tree doesn't fit its text")
+        self.count = max(1, len(chars))
+        self.width = 1 << (self.count - 1).bit_length()
+        self.chars, self.tokens = self._sums(chars), self._sums(tokens)
+        #: Pre-tokens, and their tokens, of the slots that edits have changed.
+        self.changed: dict[int, tuple[list[str], list[int]]] = {}
+
+    def _sums(self, leaves: np.ndarray) -> np.ndarray:
+        out = np.zeros(2 * self.width, dtype=np.int64)
+        out[self.width : self.width + len(leaves)] = leaves
+        k = self.width
+        while k > 1:
+            out[k // 2 : k] = out[k : 2 * k : 2] + out[k + 1 : 2 * k : 2]
+            k //= 2
+        return out
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return int(self.tokens[1])
 
     @property
     def n_chars(self) -> int:
-        return self.chars[1]
+        return int(self.chars[1])
+
+    def slot(self, k: int) -> list[str]:
+        """The pre-tokens of a slot."""
+        if k in self.changed:
+            return self.changed[k][0]
+        if k >= len(self.ends):
+            return []
+        return [self.base[self.ends[k - 1] if k else 0 : self.ends[k]]]
 
     def find(self, at: int) -> tuple[int, int]:
         """The slot that holds character at, and the characters before that slot."""
         k, before = 1, 0
         while k < self.width:
             k *= 2
-            if at >= before + self.chars[k] and self.chars[k + 1]:
-                before += self.chars[k]
+            left = int(self.chars[k])
+            if at >= before + left and self.chars[k + 1]:
+                before += left
                 k += 1
         return k - self.width, before
 
-    def put(self, slot: int, pieces: list[str], tokens: int) -> None:
-        while len(self.slots) <= slot:
-            self.slots.append([])
-        self.slots[slot] = pieces
+    def put(self, slot: int, pieces: list[str], tokens: list[int]) -> None:
+        self.changed[slot] = (pieces, tokens)
         k = slot + self.width
-        chars = sum(map(len, pieces))
-        more, extra = chars - self.chars[k], tokens - self.tokens[k]
-        while k:
-            self.chars[k] += more
-            self.tokens[k] += extra
-            k >>= 1
+        path = k >> np.arange(k.bit_length())
+        self.chars[path] += sum(map(len, pieces)) - self.chars[k]
+        self.tokens[path] += sum(tokens) - self.tokens[k]
 
     def edit(self, start: int, length: int, replacement: str, encoder: bpe.Encoder) -> int:
         """Apply one edit; returns how many pre-tokens were encoded again."""
@@ -84,80 +111,138 @@ class Tree:
         if not length and not replacement:
             return 0
         first, before = self.find(max(start - LOOK, 0))
-        last = first
-        text, end = [], before
-        while last < len(self.slots) and end <= start + length:
-            text += self.slots[last]
-            end += self.chars[last + self.width]
+        last, known = first, 0
+        text, bounds = [], {0}
+
+        def take() -> list[str]:
+            """The next slot's pre-tokens, of which text, bounds and known are told."""
+            nonlocal last, known
+            more = self.slot(last)
+            for p in more:
+                known += len(p)
+                bounds.add(known)
+            text.extend(more)
             last += 1
+            return more
+
+        while last < self.count and before + known <= start + length:
+            take()
         old = "".join(text)
         cut, stop = start - before, start - before + length
         changed = old[:cut] + replacement + old[stop:]
         edge = cut + len(replacement)  # nothing behind it has changed
         tail = len(old) - len(changed)
-        bounds = set(np.cumsum([0, *map(len, text)]).tolist())
         while True:
             pieces, at, met = encoder.split(changed), 0, None
             for k, p in enumerate(pieces):
                 at += len(p)
                 # A boundary is sure when the pre-token's end and what it looked at lie inside the known text.
-                if at >= edge and at + tail in bounds and (at + LOOK <= len(changed) or last >= len(self.slots)):
+                if at >= edge and at + tail in bounds and (at + LOOK <= len(changed) or last >= self.count):
                     met = k + 1
                     break
-            if met is not None or last >= len(self.slots):
+            if met is not None or last >= self.count:
                 break
+            behind = []
             for _ in range(max(8, last - first)):  # not met yet: take in more of what follows
-                if last < len(self.slots):
-                    for p in self.slots[last]:
-                        text.append(p)
-                        changed += p
-                        bounds.add(max(bounds) + len(p))
-                    last += 1
+                if last < self.count:
+                    behind += take()
+            changed += "".join(behind)
         made = pieces[: met if met is not None else len(pieces)]
         fresh = len(made)
-        rest = changed[sum(map(len, made)) :]
-        at, kept = 0, []
-        if rest:  # old pre-tokens from the meeting point on
-            behind = sum(map(len, text)) - len(rest)
-            for p in text:
-                if at >= behind:
-                    kept.append(p)
-                at += len(p)
-        made += kept
-        self.put(first, made, sum(len(encoder.ids(p)) // 4 for p in made))
+        rest = len(changed) - sum(map(len, made))
+        kept = []
+        while rest > 0:  # old pre-tokens from the meeting point on
+            kept.append(text.pop())
+            rest -= len(kept[-1])
+        made = made + kept[::-1]
+        self.put(first, made, [len(encoder.ids(p)) // 4 for p in made])
         for slot in range(first + 1, last):
-            self.put(slot, [], 0)
+            self.put(slot, [], [])
         return fresh
 
     def text(self) -> str:
-        return "".join(p for slot in self.slots for p in slot)
+        out, at = [], 0
+        for slot in sorted(self.changed):
+            start, end = (int(self.ends[k - 1]) if k else 0 for k in (slot, min(slot + 1, len(self.ends))))
+            out += [self.base[at:start], *self.changed[slot][0]]
+            at = end
+        return "".join([*out, self.base[at:]])
+
+    def packed(self) -> bytes:
+        """The leaves as they stand."""
+        columns: list[list[np.ndarray]] = [[], []]
+        at = 0
+        for slot in sorted(self.changed):
+            pieces, tokens = self.changed[slot]
+            for column, leaves, new in zip(columns, self.leaves, (list(map(len, pieces)), tokens)):
+                column += [leaves[at:slot], np.array(new, dtype=np.int64)]
+            at = slot + 1
+        return pack(*(np.concatenate([*column, leaves[at:]]) for column, leaves in zip(columns, self.leaves)))
 
 
 #: Pre-tokens and bytes that a worker remembers here: no other operator runs beside this one.
 MEMO = (300_000, 96_000_000)
+COUNTS = "n_tokens_before bigint, n_tokens_after bigint, n_chars_after bigint, n_edits bigint, n_pretokens bigint, n_reencoded bigint"
 
 
-def count_with_edits(df: DataFrame, text: str = "text", edits: str = "edits", path: str | None = None) -> DataFrame:
-    """df with n_tokens_before, n_tokens_after, n_chars_after, n_edits, n_pretokens and n_reencoded (all long)."""
+def leaves(encoder: bpe.Encoder, texts: list[str]):
+    """The characters and the tokens of the pre-tokens of each text."""
+    for pieces in encoder.groups(texts):
+        get, n = encoder.memo.__getitem__, len(pieces)
+        yield np.fromiter(map(len, pieces), np.int64, n), np.fromiter(map(len, map(get, pieces)), np.int64, n) // 4
+
+
+def build_trees(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """df with tree (binary: the leaves of the text's tree) and n_tokens (long)."""
     import pyarrow as pa
 
     path = path or bpe.default_path()
 
     def made(batch):
-        encoder = bpe.encoder(path, *MEMO)
-        texts, rows = common.texts_of(batch.column(text)), []
-        changes = batch.column(edits).to_pylist()
-        for pieces, change in zip(encoder.groups(texts), changes):
-            get = encoder.memo.__getitem__
-            tree = Tree(pieces, [len(get(p)) // 4 for p in pieces])
-            n, again = tree.n_tokens, 0
-            todo = [e for e in change or () if e]
-            for e in todo:
-                again += tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "", encoder)
-            rows.append((n, tree.n_tokens, tree.n_chars, len(todo), len(pieces), again))
-        return [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
-
-    return common.add_columns(df, made, "n_tokens_before bigint, n_tokens_after bigint, n_chars_after bigint, n_edits bigint, n_pretokens bigint, n_reencoded bigint")
+        encoder, trees, totals = bpe.encoder(path, *MEMO), [], []
+        for texts in common.text_slices(batch.column(batch.schema.get_field_index(text))):
+            for chars, tokens in leaves(encoder, texts):
+                trees.append(pack(chars, tokens))
+                totals.append(int(tokens.sum()))
+        return [pa.array(trees, pa.binary()), pa.array(totals, pa.int64())]
+
+    return common.add_columns(df, made, "tree binary, n_tokens bigint")
+
+
+def update_trees(df: DataFrame, text: str = "text", tree: str = "tree", edits: str = "edits", path: str | None = None, counts_only: bool = False) -> DataFrame:
+    """df, a table of build_trees() with edits, after them: COUNTS and, unless counts_only, the edited text and tree in place of the old ones and n_tokens."""
+    import pyarrow as pa
+
+    path = path or bpe.default_path()
+
+    def made(batch):
+        encoder, rows, news = bpe.encoder(path, *MEMO), [], []
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        done = 0
+        for texts in common.text_slices(column(text)):
+            stored, todo = (column(c).slice(done, len(texts)).to_pylist() for c in (tree, edits))
+            done += len(texts)
+            anew = leaves(encoder, [t for t, packed in zip(texts, stored) if not packed])
+            for t, packed, change in zip(texts, stored, todo):
+                it = Tree(t, *(unpack(packed) if packed else next(anew)))
+                before, held, change = it.n_tokens, len(it.leaves[0]), [e for e in change or () if e]
+                again = sum(it.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "", encoder) for e in change)
+                rows.append((before, it.n_tokens, it.n_chars, len(change), held, again))
+                if not counts_only:
+                    news.append((it.text(), it.packed(), it.n_tokens))
+        out = [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
+        if not counts_only:
+            out += [pa.array([n[i] for n in news], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.int64()))]
+        return out
+
+    return common.add_columns(df, made, COUNTS if counts_only else f"{COUNTS}, `{text}` string, `{tree}` binary, n_tokens bigint")
+
+
+def count_with_edits(df: DataFrame, text: str = "text", edits: str = "edits", path: str | None = None) -> DataFrame:
+    """df with n_tokens_before, n_tokens_after, n_chars_after, n_edits, n_pretokens and n_reencoded (all long), of trees that aren't kept."""
+    tree = common.fresh(df, "tree")
+    made = df.withColumn(tree, F.lit(None).cast("binary"))
+    return update_trees(made, text, tree, edits, path, counts_only=True).drop(tree)
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -176,5 +261,5 @@ def sample_edits(docs: DataFrame) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = count_with_edits(sample_edits(docs))
-    return out.select("doc_id", "n_tokens_before", "n_tokens_after", "n_chars_after", "n_edits", "n_pretokens", "n_reencoded")
+    trees = common.materialize(build_trees(docs).select("doc_id", "text", "tree"), "trees", "zstd")
+    return update_trees(sample_edits(trees), counts_only=True).select("doc_id", "n_tokens_before", "n_tokens_after", "n_chars_after", "n_edits", "n_pretokens", "n_reencoded")
