@@ -18,7 +18,7 @@ def _mark(edges: DataFrame):
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and component (its smallest node), for every node of edges (a, b: long). Loops and repeats are allowed."""
+    """node and component (its smallest node), for every node of edges (a, b: long). Loops and repeats are allowed. More than so many rounds are an error, never an unfinished result."""
     now = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _mark(now)
     for _ in range(rounds):
@@ -39,5 +39,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     nodes = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().join(now.select(F.col("a").alias("node")), "node", "left_anti"))
