@@ -59,6 +59,25 @@ def test_edits_equal_a_new_count(spark, odd, none):
     assert edit_counts.count_with_edits(edit_counts.sample_edits(none)).count() == 0
 
 
+def test_an_edit_touches_its_own_slots_alone():
+    encoder = bpe.encoder(bpe.default_path())
+    text = " ".join(f"word{i} {chr(97 + i % 26) * (i % 5 + 1)}" for i in range(300))
+    chars, tokens = next(edit_counts.leaves(encoder, [text]))
+    for start, length, new in ((700, 5, "amended 2nd"), (0, 0, "Revised: "), (701, 0, "x"), (len(text) - 3, 7, ""), (650, 90, "")):
+        tree = edit_counts.Tree(text, chars, tokens)
+        for s, n, r in ((start, length, new), (start + 2, 1, "yz")):
+            tree.edit(s, n, r, encoder)
+        after = text[:start] + new + text[start + length :]
+        at = min(start + 2, len(after))
+        after = after[:at] + "yz" + after[at + 1 :]
+        assert tree.text() == after and tree.n_chars == len(after)
+        assert tree.n_tokens == len(next(encoder.encode([after]))) // 4
+        kept = edit_counts.unpack(tree.packed())
+        assert [list(a) for a in kept] == [list(a) for a in next(edit_counts.leaves(encoder, [after]))]
+        inside = np.flatnonzero((np.cumsum(chars) > start - 2 * edit_counts.LOOK) & (np.cumsum(chars) - chars < start + length + 2 * edit_counts.LOOK))
+        assert len(tree.changed) <= len(inside) + 2
+
+
 def test_trees_are_kept_from_revision_to_revision(spark, odd, none):
     encoder = bpe.encoder(bpe.default_path())
     count = lambda t: sum(len(encoder.ids(p)) // 4 for p in encoder.split(t))

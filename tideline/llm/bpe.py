@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +28,8 @@ from . import common
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens up to so many bytes are merged in numpy rows.
 WIDEST = 64
+#: Rows of one array, so that it stays in the processor's cache.
+ROWS = 8_000
 #: Pre-tokens and bytes (of texts and ids, and 200 an entry) that a worker remembers; the memory is emptied when it is full.
 MEMO, MEMO_BYTES = 80_000, 24_000_000
 #: Code points whose classes are asked for, and ids that are decoded, at a time.
@@ -118,6 +119,8 @@ class Merger:
                     keys.append(a << 32 | b)
                     vals.append(r)
         self._build(np.frombuffer(keys, dtype=np.int64), np.frombuffer(vals, dtype=np.int32))
+        #: Ranks of pairs of bytes, by 256 * first + second.
+        self.byte_pairs = self.rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def _build(self, keys: np.ndarray, vals: np.ndarray) -> None:
         """An open hash table of pairs; probes go to the next place, so a lookup takes at most self.probes steps."""
@@ -214,7 +217,8 @@ class Merger:
         after = np.tile(np.arange(1, wide + 1, dtype=np.int32), (rows, 1))
         before = np.tile(np.arange(-1, wide - 1, dtype=np.int32), (rows, 1))
         tree = np.full((rows, 2 * width), NONE, dtype=np.int32)
-        tree[:, width:] = self.rank(ids[:, 1:-1].ravel(), ids[:, 2:].ravel()).reshape(rows, width)
+        pairs = self.byte_pairs[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
+        tree[:, width:-1] = np.where(inside[:, 1:], pairs, NONE)
         level = width >> 1
         while level:
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
@@ -238,11 +242,11 @@ class Merger:
             spots = np.concatenate([j, i, np.maximum(left, 1)]).astype(np.int64) + width - 1
             tops = np.concatenate([root, root, root])
             has_left = left >= 1
-            here = self.rank(best, fi[base + right])
-            there = np.where(has_left, self.rank(fi[base + left], best), 0)
+            beside = np.concatenate([best, fi[(base + left)[has_left]]])
+            ranks = self.rank(beside, np.concatenate([fi[base + right], best[has_left]]))
             ft[root + j + width - 1] = NONE
-            ft[root + i + width - 1] = here
-            ft[(root + left + width - 1)[has_left]] = there[has_left]
+            ft[root + i + width - 1] = ranks[: len(live)]
+            ft[(root + left + width - 1)[has_left]] = ranks[len(live) :]
             spots >>= 1
             while spots[0]:
                 ft[tops + spots] = np.minimum(ft[tops + 2 * spots], ft[tops + 2 * spots + 1])
@@ -265,14 +269,14 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.held = 0
 
-    def learn(self, pieces) -> None:
-        """Have the ids of all of pieces in the memo."""
+    def learn(self, lists: list[list[str]]) -> None:
+        """Have the ids of all pre-tokens of lists in the memo."""
         memo, ranks = self.memo, self.merger.ranks
         if len(memo) > self.most or self.held > self.most_bytes:
             memo.clear()
             self.held = 0
         rows: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in set(pieces).difference(memo):
+        for piece in set().union(*lists).difference(memo):
             raw = piece.encode("utf-8", "surrogatepass")
             self.held += 200 + 5 * len(raw)
             whole = ranks.get(raw)
@@ -283,8 +287,8 @@ class Encoder:
             else:
                 rows.setdefault(1 << max(1, (len(raw) - 1).bit_length()), []).append((piece, raw))
         for width, both in rows.items():
-            for start in range(0, len(both), 20_000):
-                part = both[start : start + 20_000]
+            for start in range(0, len(both), ROWS):
+                part = both[start : start + ROWS]
                 memo.update(zip((p for p, _ in part), self.merger.encode_rows([r for _, r in part], width)))
 
     def ids(self, piece: str) -> bytes:
@@ -303,7 +307,7 @@ class Encoder:
                 chars += len(texts[end])
                 end += 1
             lists = [self.split(t) for t in texts[start:end]]
-            self.learn(chain.from_iterable(lists))
+            self.learn(lists)
             yield from lists
             start = end
 

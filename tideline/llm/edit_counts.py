@@ -57,16 +57,17 @@ class Tree:
             raise ValueError("the tree doesn't fit its text")
         self.count = max(1, len(chars))
         self.width = 1 << (self.count - 1).bit_length()
-        self.chars, self.tokens = self._sums(chars), self._sums(tokens)
+        self.chars, self.tokens = self._sums(chars, tokens)
         #: Pre-tokens, and their tokens, of the slots that edits have changed.
         self.changed: dict[int, tuple[list[str], list[int]]] = {}
 
-    def _sums(self, leaves: np.ndarray) -> np.ndarray:
-        out = np.zeros(2 * self.width, dtype=np.int64)
-        out[self.width : self.width + len(leaves)] = leaves
+    def _sums(self, *leaves: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(leaves), 2 * self.width), dtype=np.int64)
+        for row, values in zip(out, leaves):
+            row[self.width : self.width + len(values)] = values
         k = self.width
         while k > 1:
-            out[k // 2 : k] = out[k : 2 * k : 2] + out[k + 1 : 2 * k : 2]
+            np.add(out[:, k : 2 * k : 2], out[:, k + 1 : 2 * k : 2], out=out[:, k // 2 : k])
             k //= 2
         return out
 
@@ -112,16 +113,17 @@ class Tree:
             return 0
         first, before = self.find(max(start - LOOK, 0))
         last, known = first, 0
-        text, bounds = [], {0}
+        text, bounds, taken = [], {0}, []
 
         def take() -> list[str]:
-            """The next slot's pre-tokens, of which text, bounds and known are told."""
+            """The next slot's pre-tokens, of which text, bounds, taken (pre-tokens and characters by slot) and known are told."""
             nonlocal last, known
-            more = self.slot(last)
+            more, so_far = self.slot(last), known
             for p in more:
                 known += len(p)
                 bounds.add(known)
             text.extend(more)
+            taken.append((len(more), known - so_far))
             last += 1
             return more
 
@@ -143,15 +145,20 @@ class Tree:
             if met is not None or last >= self.count:
                 break
             behind = []
-            for _ in range(max(8, last - first)):  # not met yet: take in more of what follows
+            for _ in range(max(4, last - first)):  # not met yet: take in more of what follows
                 if last < self.count:
                     behind += take()
             changed += "".join(behind)
         made = pieces[: met if met is not None else len(pieces)]
         fresh = len(made)
         rest = len(changed) - sum(map(len, made))
+        while last - first > 1 and taken[-1][1] <= rest:  # slots behind the meeting point stay as they are
+            n, chars = taken.pop()
+            del text[len(text) - n :]
+            rest -= chars
+            last -= 1
         kept = []
-        while rest > 0:  # old pre-tokens from the meeting point on
+        while rest > 0:  # old pre-tokens of a slot that the edit reaches into
             kept.append(text.pop())
             rest -= len(kept[-1])
         made = made + kept[::-1]
