@@ -158,6 +158,26 @@ def test_jaccard_regions_lose_no_pair(percent):
     assert chance <= 3
 
 
+def test_shingles_of_many_texts_take_few_passes(monkeypatch):
+    from tideline.llm import shingles
+
+    rng, calls, mix = random.Random(6), [], shingles.mix
+    texts = ["", " \n", "a", "a b", "A B c d", "q " * 60] + [" ".join(rng.choice("abcdef") * rng.randint(1, 2) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [""]
+    alone = [shingles.shingle_sets([t], 4)[0] for t in texts]
+    rings = jaccard.Rings(85)
+    monkeypatch.setattr(shingles, "mix", lambda x: calls.append(1) or mix(x))
+    found = shingles.shingle_sets(texts, 4)
+    hashes = shingles.set_hashes(found)
+    full = [s for s in found if len(s)]
+    names, whose = rings.regions_of(full, 1)
+    assert len(calls) < 200  # by the ring and the deal, not by the text
+    assert all(a.tolist() == b.tolist() for a, b in zip(alone, found))
+    assert [len(s) for s in found] == [len(s) for s in sets(enumerate(texts), 4).values()]
+    assert hashes.tolist() == [shingles.set_hash(s) for s in found]
+    for i, s in enumerate(full):
+        assert sorted(names[whose == i].tolist()) == sorted(rings.regions(s, 1).tolist())
+
+
 def test_jaccard_odd_rows(odd, none):
     assert jaccard.jaccard_classes(odd).count() == len(ODD)
     kept = jaccard.keep_one(odd)
