@@ -158,6 +158,37 @@ def test_jaccard_regions_lose_no_pair(percent):
     assert chance <= 3
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_jaccard_sets_hand_on_few_bands(percent):
+    """A set is put in by no more bands than its largest allowed difference asks for; partners share more regions than both may leave (before, bands by the ring's largest set)."""
+    rng, rings = np.random.default_rng(8), jaccard.Rings(percent)
+    draw = lambda n: np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+    loose = lambda s: rings.loose[np.searchsorted(rings.starts, len(s), side="right") - 1]
+    for n in (9, 21, 40, 57, 90, 150, 400, 1500):
+        given = []
+        for _ in range(30):
+            s = draw(n)
+            left = np.sort(rng.permutation(s)[: -(-n * percent // 100)])
+            mixed = np.union1d(s[: -(-n * 95 // 100)], draw(n // 40))
+            for t in (left, mixed):
+                both = len(np.intersect1d(s, t))
+                assert 100 * both >= percent * (len(s) + len(t) - both)
+                if not np.array_equal(s, t):
+                    assert len(np.intersect1d(rings.regions(s), rings.regions(t))) > loose(s) + loose(t)
+            given.append(len(rings.regions(s)))
+        if n >= 150:
+            most = (100 - percent) * (n + 100 * n // percent) // (100 + percent) + 1 + 2 * jaccard.LOOSE
+            rings_of = np.searchsorted(rings.starts, 100 * n // percent, side="right") - np.searchsorted(rings.starts, n, side="right") + 1
+            assert np.median(given) <= most * rings_of
+
+
+def test_keep_one_sorts_no_rows_without_repeats(spark):
+    rows = [(i, " ".join(f"w{i % 3}x{j}" for j in range(20))) for i in range(9)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_shingles_of_many_texts_take_few_passes(monkeypatch):
     from tideline.llm import shingles
 
